@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import sentencepiece_ops, token_counts
+from millrace.llm import sentencepiece_ops, simhash, suffix_dedup, token_counts
 
 #: Texts with more tokens than this do not fit one training window.
 WINDOW = 1024
@@ -39,9 +39,27 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_texts(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), simhash.as_hex("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(_texts(spark, sf_dir))
+    return cut.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_dedup": op4_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
