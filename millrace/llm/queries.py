@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import sentencepiece_ops, simhash, suffix_dedup, token_counts
+from millrace.lineage import stored
+from millrace.llm import media, mixing, pii, sentencepiece_ops, simhash, suffix_dedup, syncmers, token_counts, toxicity, url_filters
 
 #: Texts with more tokens than this do not fit one training window.
 WINDOW = 1024
@@ -55,11 +56,101 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = syncmers.with_sketch(_texts(spark, sf_dir).withColumn("tie", F.xxhash64("text")))
+    led = syncmers.with_next(docs, "doc_id", ["text", "sketch"], "tie")
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    sized = led.withColumn("n_chars", F.char_length("text").cast("long"))
+    edited = sized.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr("next_text", F.lit(1), third)))
+    both = syncmers.with_sketch(edited, "edited", "edited_sketch")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.as_text("sketch").alias("fingerprint"),
+        syncmers.as_text("edited_sketch").alias("edited_fingerprint"),
+        syncmers.likeness("sketch", "edited_sketch").alias("near_edited"),
+        syncmers.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = stored(docs.select("doc_id", "source", mixing.words("text").alias("size"), mixing.random_key("doc_id", "text").alias("key")))
+    return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.with_payload_image(_texts(spark, sf_dir), "text")
+    seen = media.with_media(images.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "image"))
+    payload = F.col("media.payload")
+    return seen.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substr(payload, F.lit(-64), F.lit(64))).alias("tail_crc32"),
+        F.octet_length("image").cast("long").alias("media_bytes"),
+        F.sha2("image", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "media.width", "media.height"), "media.thumbnail_hash").alias("feature"),
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(_texts(spark, sf_dir)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filters.judged(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.with_score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_syncmers": op5_syncmers,
+    "op6_mixing": op6_mixing,
+    "op7_media": op7_media,
+    "op8_pii": op8_pii,
+    "op9_url_filters": op9_url_filters,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "|".join(word for _, word in url_filters.WORD_RULES)
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": f"""
+        WITH parts AS (
+            SELECT page_id,
+                translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        ruled AS (
+            SELECT *, CASE
+                WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM parts)
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])({_WORDS})([^a-z0-9]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
