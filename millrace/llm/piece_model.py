@@ -16,7 +16,7 @@ SPACE = "▁"
 #: Types of a piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered segments in a Python worker.
-MEMO = 250_000
+MEMO = 200_000
 
 
 def fields(data: bytes):
@@ -109,7 +109,10 @@ class PieceModel:
         # Nor from or to a character that stands in single-character pieces at most.
         joining = "".join(re.escape(c) for c in sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
         self.segments = re.compile(f"{SPACE}*[{joining}]+|{SPACE}+|[^{SPACE}{joining}]+" if apart and joining else r"(?s).+").findall
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.packed = _Segments(self)
+        # What decodes alone and always alike: not parts of characters, unknowns or controls.
+        self.surface = [chr(self.of_byte[i]) if t == BYTE else p.replace(SPACE, " ") for i, (p, t) in enumerate(zip(self.pieces, self.types))]
+        self.plain = np.array([t == NORMAL or t == BYTE and self.of_byte[i] < 128 for i, t in enumerate(self.types)])
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its byte offsets (its end included), the source's byte offset."""
@@ -158,43 +161,42 @@ class PieceModel:
                 del align[len(out) :]
         return out.decode(), np.array([*align, end], np.int32)
 
-    def _encode_segment(self, segment: str) -> tuple[bytes, bytes]:
-        """Ids and UTF-8 lengths of a segment's pieces, packed as 32-bit ints."""
+    def encode_segment(self, segment: str) -> bytes:
+        """A segment's pieces as 64-bit ints: the id and, in the low half, the UTF-8 length."""
         rank = self.rank
-        ids, lengths = [], []
+        out: list[int] = []
         for piece in merge(list(segment), lambda a, b: rank.get(a + b, NEVER)):
             raw = piece.encode()
             if piece in self.ids:
-                ids.append(self.ids[piece])
-                lengths.append(len(raw))
+                out.append(self.ids[piece] << 32 | len(raw))
             elif self.bytes:
-                ids += [self.bytes[b] for b in raw]
-                lengths += [1] * len(raw)
-            elif ids and ids[-1] == self.unknown:
-                lengths[-1] += len(raw)
+                out += [self.bytes[b] << 32 | 1 for b in raw]
+            elif out and out[-1] >> 32 == self.unknown:
+                out[-1] += len(raw)
             else:
-                ids.append(self.unknown)
-                lengths.append(len(raw))
-        out = np.array(ids, "<i4").tobytes(), np.array(lengths, "<i4").tobytes()
-        if len(segment) <= 48 and len(self.memo) < MEMO:
-            self.memo[segment] = out
-        return out
+                out.append(self.unknown << 32 | len(raw))
+        return np.array(out, "<i8").tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and the end byte of each piece in the source text."""
         normal, align = self.normalise(text)
-        memo, slow = self.memo, self._encode_segment
-        parts = [memo.get(s) or slow(s) for s in self.segments(normal)]
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), "<i4")
-        ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), "<i4"))
+        packed = np.frombuffer(b"".join(map(self.packed.__getitem__, self.segments(normal))), "<i8")
+        ids, ends = (packed >> 32).astype(np.int32), np.cumsum(packed & 0xFFFFFFFF)
         if not self.bytes and len(ids):  # runs of unknowns may meet at segment borders
-            keep = np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True)
-            last = np.flatnonzero(keep)
+            last = np.flatnonzero(np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True))
             ids, ends = ids[last], ends[last]
-        return ids, align[np.append(0, ends[:-1])] if len(ids) else ends, align[ends] if len(ids) else ends
+        bounds = align[np.append(0, ends)]
+        return ids, bounds[:-1], bounds[1:]
 
     def decode(self, ids) -> str:
         """The text of ``ids``: byte pieces joined into characters, control ids silent, the first space dropped."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not self.squeeze and self.plain[ids].all():
+            text = "".join(map(self.surface.__getitem__, ids.tolist()))
+            return text[1:] if self.dummy_prefix and self.pieces[ids[0]].startswith(SPACE) else text
+        return self._decode_stepwise(ids.tolist())
+
+    def _decode_stepwise(self, ids: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
         start = True
@@ -221,6 +223,20 @@ class PieceModel:
         return "".join(out)
 
 
+class _Segments(dict):
+    """Packed pieces of a segment, remembered if short, up to ``MEMO`` segments."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, segment: str) -> bytes:
+        out = self.model.encode_segment(segment)
+        if len(segment) <= 48 and len(self) < MEMO:
+            self[segment] = out
+        return out
+
+
 def decode_bytes(raw: bytes) -> str:
     """Well-formed characters; U+FFFD for each byte that belongs to none."""
     try:

@@ -28,9 +28,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = sentencepiece_ops.with_pieces(_texts(spark, sf_dir).withColumn("n_bytes", F.octet_length("text")), path)
-    texts = sentencepiece_ops.with_decoded(pieces, path)
-    return texts.select(
+    texts = _texts(spark, sf_dir).withColumn("n_bytes", F.octet_length("text"))
+    pieces = sentencepiece_ops.with_pieces(texts, path, keep=["doc_id", "n_bytes"], decoded="decoded")
+    return pieces.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

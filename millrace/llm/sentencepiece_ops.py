@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.piece_model import PieceModel
 
@@ -28,46 +30,53 @@ def _model(path: str) -> PieceModel:
     return _loaded[path]
 
 
-def _lists(parts: list[np.ndarray], offsets: np.ndarray) -> pa.Array:
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32, copy=False)))
+#: Bytes of text, as Arrow holds them, whose pieces are made and handed on at once.
+SLICE = 4 << 20
 
 
-def encoded(path: str, text: str | Column = "text") -> Column:
-    """struct<ids, begins, ends>: the piece ids of ``text`` and each piece's byte span in it."""
+def slices(batch: pa.RecordBatch, column: int):
+    """Runs of rows with about ``SLICE`` bytes in ``column``, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(starts, [*starts[1:], len(part)]):
+        yield batch.slice(a, b - a)
 
-    @F.arrow_udf("struct<ids:array<int>,begins:array<int>,ends:array<int>>")
-    def encode(texts: pa.Array) -> pa.Array:
-        one = _model(path).encode
-        ids, begins, ends = [], [], []
-        for t in texts:
-            a, b, c = one(t.as_py() or "")
-            ids.append(a)
-            begins.append(b)
-            ends.append(c)
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return pa.StructArray.from_arrays([_lists(x, offsets) for x in (ids, begins, ends)], ["ids", "begins", "ends"])
 
-    return encode(F.col(text) if isinstance(text, str) else text)
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32, copy=False)))
 
 
-def decoded(path: str, ids: str | Column = "ids") -> Column:
-    """The text of an array of piece ids; null ids give null."""
+def with_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep`` (all) of ``df``, and arrays ``ids``, ``begins`` and ``ends`` (source bytes, end exclusive).
 
-    @F.arrow_udf("string")
-    def decode(lists: pa.Array) -> pa.Array:
-        one = _model(path).decode
-        return pa.array((None if not x.is_valid else one(x.as_py()) for x in lists), pa.string())
+    ``decoded`` names a further column for the text that the ids decode to.
+    """
+    made = ["ids", "begins", "ends", *([decoded] if decoded else [])]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in [m.lower() for m in made]]
+    source = df.select(F.col(text).alias("_source"), *[f"`{c}`" for c in kept])
+    schema = T.StructType([*source.schema.fields[1:], *(T.StructField(c, T.StringType() if c == decoded else T.ArrayType(T.IntegerType())) for c in made)])
 
-    return decode(F.col(ids) if isinstance(ids, str) else ids)
+    def run(batches):
+        model = _model(path)
+        for batch in batches:
+            for part in slices(batch, 0):
+                ids, begins, ends = map(list, zip(*(model.encode(t.as_py() or "") for t in part.column(0))))
+                out = [_lists(ids), _lists(begins), _lists(ends)]
+                if decoded:
+                    out.append(pa.array(map(model.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], [*kept, *made])
 
-
-def with_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with array columns ``ids``, ``begins`` and ``ends`` (source bytes, end exclusive)."""
-    kept = [c for c in df.columns if c.lower() not in ("ids", "begins", "ends", "_pieces")]
-    return df.withColumn("_pieces", encoded(path, text)).select(*[f"`{c}`" for c in kept], "_pieces.*")
+    return source.mapInArrow(run, schema)
 
 
 def with_decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the text of ``ids``."""
-    return df.withColumn(out, decoded(path, ids))
+    """``df`` with ``out``, the text of the piece ids in ``ids``; null ids give null."""
+
+    @F.arrow_udf(T.StringType())
+    def decode(lists: pa.Array) -> pa.Array:
+        one = _model(path).decode
+        return pa.array((None if not x.is_valid else one(x.as_py()) for x in lists), pa.string())
+
+    return df.withColumn(out, decode(F.col(ids)))
