@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import graph_queries, table_queries, text_queries
+
 FLAGSHIP = "impact_callers"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **text_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**graph_queries.SQL, **text_queries.SQL, **table_queries.SQL}
