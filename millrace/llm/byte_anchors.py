@@ -15,7 +15,7 @@ LENGTH, Q = 200, 64
 GRAMS = LENGTH - Q + 1
 #: Windows of a long text that are treated at once, and bytes of short texts that are.
 PIECE, CHUNK = 1 << 18, 1 << 19
-_POSITION = np.uint64((1 << 20) - 1)
+POSITION = np.uint64((1 << 20) - 1)
 
 _random = np.random.default_rng(20_200)
 _OF_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,8 +88,8 @@ def anchors(data: np.ndarray, pieces: list) -> dict[str, np.ndarray]:
     """
     hashes = Hashes(data)
     grams = mixed(hashes.windows(Q))
-    least = _sliding_least(grams & ~_POSITION | np.arange(len(grams), dtype=np.uint64), GRAMS)
-    where = (least & _POSITION).astype(np.int64)
+    least = _sliding_least(grams & ~POSITION | np.arange(len(grams), dtype=np.uint64), GRAMS)
+    where = (least & POSITION).astype(np.int64)
     number, offset, begin, end = (np.array(x, np.int64) for x in zip(*pieces))
     valid = np.zeros(len(where) + LENGTH, np.int32)  # windows inside one piece
     valid[begin] += 1

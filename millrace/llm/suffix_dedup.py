@@ -13,7 +13,7 @@ at equal anchors. The refinement then runs over buckets of anchors only:
 3. The classes of a bucket that still differ are refined at every offset, by
    the windows that start there. Small buckets meet in one task, a bounded
    number of hulls each; the windows of a crowded bucket are spread over all
-   tasks and counted there.
+   tasks and counted there, in stretches first.
 
 Each step reuses the buckets of the step before and hands on only what those
 left open. A window counts as repeated if its bytes also start anywhere else;
@@ -40,6 +40,8 @@ from millrace.llm import byte_anchors as ba
 
 #: Classes of a bucket up to which they meet in one task.
 CROWD = 64
+#: Windows of a stretch, in crowded buckets.
+STEP = 16
 
 
 @F.arrow_udf(T.BinaryType())
@@ -162,20 +164,62 @@ def _small_buckets(hulls: DataFrame) -> DataFrame:
     return hulls.where("not busy").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc {kind}, at long, more int")
 
 
-def _crowded_buckets(hulls: DataFrame) -> DataFrame:
+def _lead(hull: bytes) -> int:
+    """Place of the anchor in a hull."""
+    grams = ba.mixed(ba.Hashes(np.frombuffer(hull, np.uint8, ba.LENGTH)).windows(ba.Q))
+    return int(np.argmin(grams & ~ba.POSITION))
+
+
+def _chunk_rows(hulls: DataFrame) -> DataFrame:
+    """Hulls cut where the distance to the anchor is a multiple of ``STEP``, so that equal stretches are cut alike."""
     kind = hulls.schema["doc"].dataType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            docs, out = [], {"at": [], "more": [], "gram": [], "alone": [], "chunk": [], "hull": []}
+            for i, row in enumerate(batch.to_pylist()):
+                lead, hull, n = _lead(row["hull"]), row["hull"], row["more"] + 1
+                hashes = ba.Hashes(np.frombuffer(hull, np.uint8))
+                cuts = [0, *range(lead % STEP or STEP, n, STEP), n]
+                for a, b in zip(cuts, cuts[1:]):
+                    piece = hull[a : b - 1 + ba.LENGTH]
+                    docs.append(i)
+                    value = int(ba.mixed(hashes.of(np.array([a]), np.array([b - 1 + ba.LENGTH])) + np.uint64(lead - a + STEP))[0])
+                    for key, v in (("at", row["at"] + a), ("more", b - 1 - a), ("gram", row["gram"]), ("alone", row["alone"]), ("chunk", value - (value >> 63 << 64)), ("hull", piece)):
+                        out[key].append(v)
+            if docs:
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs)), *map(pa.array, out.values(), types)], ["doc", *out])
+
+    return hulls.where("busy").mapInArrow(run, f"doc {kind}, at long, more int, gram long, alone boolean, chunk long, hull binary")
+
+
+def _window_rows(chunks: DataFrame) -> DataFrame:
+    kind = chunks.schema["doc"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 row, offset, window = _windows(batch)
-                at = batch.column("at").to_numpy()[row] + offset
                 take = pa.array(row)
+                at = batch.column("at").to_numpy()[row] + offset
                 yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), pa.array(at), batch.column("gram").take(take), batch.column("alone").take(take), pa.array(window.view(np.int64))], ["doc", "at", "gram", "alone", "window"])
 
-    spread = stored(hulls.where("busy").mapInArrow(run, f"doc {kind}, at long, gram long, alone boolean, window long"))
+    return chunks.mapInArrow(run, f"doc {kind}, at long, gram long, alone boolean, window long")
+
+
+def _crowded_buckets(hulls: DataFrame) -> DataFrame:
+    """First by stretches of up to ``STEP`` windows, then, where those differ, by single windows; a stretch of many is kept once as a witness."""
+    chunks = stored(_chunk_rows(hulls))
+    shared = stored(chunks.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one")).where("n > 1").drop("n"))
+    joined = stored(chunks.join(shared, ["gram", "chunk"], "left"))
+    discard(chunks)
+    settled = joined.where("alone and one is not null").select("doc", "at", "more")
+    witness = F.struct("doc", "at").eqNullSafe(F.col("one"))
+    going = joined.where(F.col("one").isNull() | witness).select("doc", "at", "more", "gram", (F.col("alone") & F.col("one").isNull()).alias("alone"), "hull")
+    spread = stored(_window_rows(going))
     often = stored(spread.groupBy("gram", "window").count().where("count > 1").drop("count"))
-    return spread.where("alone").join(often, ["gram", "window"]).select("doc", "at", F.lit(0).alias("more"))
+    return settled.unionByName(spread.where("alone").join(often, ["gram", "window"]).select("doc", "at", F.lit(0).alias("more")))
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
