@@ -84,8 +84,9 @@ def arch_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def is_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a topological order takes in all nodes."""
     edges = star_edges(spark, sf_dir)
-    every, ordered = graph.nodes_of(edges).agg(F.count("*").alias("nodes")), graph.layers(edges).agg(F.count("*").alias("ordered"))
-    return every.join(ordered).withColumn("acyclic", F.col("nodes") == F.col("ordered"))
+    marked = graph.nodes_of(edges).select(F.lit(0).alias("placed")).unionByName(graph.layers(edges).select(F.lit(1).alias("placed")))
+    counts = marked.agg(F.count_if(F.col("placed") == 0).alias("nodes"), F.count_if(F.col("placed") == 1).alias("ordered"))
+    return counts.withColumn("acyclic", F.col("nodes") == F.col("ordered"))
 
 
 @query(f"""WITH RECURSIVE {_STEPS}, edges AS (SELECT DISTINCT event_type AS src, next_type AS dst FROM steps WHERE next_type IS NOT NULL),

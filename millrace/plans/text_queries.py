@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import measures
+from millrace.lineage import stored
+from millrace.operators import clones, measures
 from millrace.sources.tables import document_lines, table
 
 QUERIES, SQL = {}, {}
@@ -182,8 +183,8 @@ def _line_windows(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     SELECT doc_id, count(*) AS cloned_windows FROM w WHERE h IN (SELECT h FROM g) GROUP BY doc_id""")
 def type1_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three lines that stand more than once, by text. Windows are counted per text before they meet."""
-    windows = _line_windows(spark, sf_dir, 3).groupBy("doc_id", "window").agg(F.count("*").alias("n"))
-    often = windows.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") >= 2)
+    windows = stored(_line_windows(spark, sf_dir, 3).groupBy("doc_id", "window").agg(F.count("*").alias("n")))
+    often = stored(windows.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") >= 2).select("window"))
     return windows.join(often, "window").groupBy("doc_id").agg(F.sum("n").alias("cloned_windows"))
 
 
@@ -272,3 +273,10 @@ def def_use_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
     used = F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w)
     return table(spark, sf_dir, "conversations").withColumn("use_turn", used).where("role = 'user'").select("conv_id", F.col("turn").alias("def_turn"), F.coalesce("use_turn", F.lit(-1)).alias("use_turn")).distinct()
+
+
+@query()
+def type3_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts by groups of equal word sequences, and the groups within a fifth of edits of each other."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("tokens"))
+    return clones.near_sequences(items, 0.8)

