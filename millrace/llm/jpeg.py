@@ -7,6 +7,7 @@ symbol of each interval at a time, by look-up tables over whole arrays.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -386,15 +387,20 @@ def _decode_streams(streams: np.ndarray, raw: np.ndarray, plans: list, tables: n
         c.coefficients = rows[bases[id(c)] : bases[id(c)] + len(c.coefficients)]
 
 
+@lru_cache(4096)
+def _cells(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end places of ``cells`` equal stretches of a side, one place at least."""
+    edges = np.arange(cells + 1) * size // cells
+    end = np.minimum(np.maximum(edges[1:], edges[:-1] + 1), size)
+    return np.minimum(edges[:-1], end - 1), end
+
+
 def difference_hash(thumbnail: np.ndarray) -> int:
     """64 bits: of an 8 by 9 grid of means, which is brighter than its left neighbour."""
-    rows = np.linspace(0, thumbnail.shape[0], 9).astype(int)
-    cols = np.linspace(0, thumbnail.shape[1], 10).astype(int)
-    sums = np.zeros((thumbnail.shape[0] + 1, thumbnail.shape[1] + 1))
-    sums[1:, 1:] = thumbnail.cumsum(0, dtype=float).cumsum(1)
-    top, bottom = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1).clip(max=thumbnail.shape[0])
-    left, right = cols[:-1], np.maximum(cols[1:], cols[:-1] + 1).clip(max=thumbnail.shape[1])
-    top, left = np.minimum(top, bottom - 1), np.minimum(left, right - 1)
-    area = (bottom - top)[:, None] * (right - left)
-    grid = (sums[np.ix_(bottom, right)] - sums[np.ix_(top, right)] - sums[np.ix_(bottom, left)] + sums[np.ix_(top, left)]) / area
+    high, wide = thumbnail.shape
+    sums = np.zeros((high + 1, wide + 1))
+    np.cumsum(np.cumsum(thumbnail, 0, dtype=float), 1, out=sums[1:, 1:])
+    (top, bottom), (left, right) = _cells(high, 8), _cells(wide, 9)
+    down = sums[bottom] - sums[top]
+    grid = (down[:, right] - down[:, left]) / (right - left)
     return int.from_bytes(np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes(), "big")
