@@ -57,8 +57,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = syncmers.with_sketch(_texts(spark, sf_dir).withColumn("tie", F.xxhash64("text")))
-    led = syncmers.with_next(docs, "doc_id", ["text", "sketch"], "tie")
+    docs = _texts(spark, sf_dir).withColumn("tie", F.xxhash64("text"))
+    led = syncmers.with_next(docs, "doc_id", ["text", "sketch"], "tie", prepare=syncmers.with_sketch)
     third = F.floor(F.col("n_chars") / 3).cast("int")
     sized = led.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = sized.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr("next_text", F.lit(1), third)))

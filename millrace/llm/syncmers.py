@@ -13,6 +13,8 @@ anchor, a text without words none; a sketch of no anchors is like another such
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +92,10 @@ def _range_of(bounds: list, column: str) -> Column:
     return F.when(F.col(column).isNull(), len(bounds) + 1).otherwise(len(bounds) - found)
 
 
-def with_next(df: DataFrame, order: str, columns: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, order: str, columns: list[str], tie: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``df`` with ``next_<column>`` of the following row by descending ``order`` (a number; null last), ties by ``tie``; the first follows the last.
 
+    ``prepare`` makes such of ``columns`` as are derived, once for each row.
     Ranges of ids are windows of their own; each also holds, marked, the first
     row of the range after it. Only the bounds, at most ``MOST_RANGES``
     quantiles, pass through the driver.
@@ -106,7 +109,7 @@ def with_next(df: DataFrame, order: str, columns: list[str], tie: str) -> DataFr
     before = F.coalesce(F.lag("_range").over(every), F.max("_range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     links = firsts.select(F.col("_range").alias("_of"), "_first", before.alias("_before"))  # a row for each range
     guests = ranged.join(F.broadcast(links), (F.col("_range") == F.col("_of")) & F.col(order).eqNullSafe(F.col("_first"))).withColumn("_range", F.col("_before"))
-    both = ranged.withColumn("_guest", F.lit(0)).unionByName(guests.drop("_of", "_first", "_before").withColumn("_guest", F.lit(1)))
+    both = prepare(ranged.withColumn("_guest", F.lit(0)).unionByName(guests.drop("_of", "_first", "_before").withColumn("_guest", F.lit(1))))
     w = Window.partitionBy("_range").orderBy("_guest", F.col(order).desc_nulls_last(), tie)
     led = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
     return led.where("_guest = 0").drop("_guest", "_range")
