@@ -83,10 +83,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.nda
     size = 1 << BITS
     if not len(rows) or toxic.all() or not toxic.any():
         return np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    lengths = np.array(list(map(len, rows)))
-    ids = np.concatenate(rows)
-    label = np.repeat(toxic, lengths)
-    with_, without = (np.bincount(ids[label == v], minlength=size).astype(float) for v in (1, 0))
+    # A row has each of its buckets once; rows are gone through one by one, so that only features are held.
+    with_, without = np.zeros(size), np.zeros(size)
+    for ids, label in zip(rows, toxic):
+        (with_ if label else without)[ids] += 1
     ratio = np.log((with_ + SMOOTH) / (with_ + SMOOTH).sum()) - np.log((without + SMOOTH) / (without + SMOOTH).sum())
     # Buckets whose share of rows differs between the classes by chance are left out.
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
@@ -96,9 +96,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.nda
     live = np.flatnonzero(ratio)
     column = np.full(size, -1, np.int32)
     column[live] = np.arange(len(live))
-    keep = column[ids] >= 0
-    row = np.repeat(np.arange(len(rows)), lengths)[keep]
-    col = column[ids[keep]]
+    found = [c[c >= 0] for c in (column[ids] for ids in rows)]
+    row = np.repeat(np.arange(len(rows)), list(map(len, found)))
+    col = np.concatenate(found)
     value = ratio[live][col]
     # Each class weighs half; steps are scaled by each column's size (diagonal curvature).
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum()))
