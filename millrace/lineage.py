@@ -30,6 +30,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` if it is a ``stored`` table, else ``stored(df)``: for what several rounds read."""
+    return df if getattr(df, "_stored_at", None) else stored(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that no later plan reads."""
     path = getattr(df, "_stored_at", None)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.lineage import discard, stored
+from millrace.lineage import discard, kept, stored
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -26,6 +26,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, backward: bool = False) -> DataFrame:
     """(node, distance): what ``seeds`` (node) reach, themselves at 0, by the shortest way; at most ``max_depth`` steps."""
+    edges = kept(edges)  # read in every round
     steps = reversed_edges(edges) if backward else edges
     levels = [stored(seeds.select("node").distinct().withColumn("distance", F.lit(0)))]
     while max_depth is None or len(levels) <= max_depth:
@@ -39,6 +40,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, back
 
 def reach_pairs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """(origin, node): what each of ``origins`` (node) reaches in one step or more."""
+    edges = kept(edges)
     levels = [stored(origins.select(F.col("node").alias("origin")).distinct().join(edges, F.col("origin") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct())]
     while True:
         ahead = levels[-1].join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
@@ -62,7 +64,8 @@ def roles(edges: DataFrame) -> DataFrame:
 
 def layers(edges: DataFrame) -> DataFrame:
     """(node, layer): longest distance from a node without predecessors; nodes on or behind a cycle are in no layer."""
-    left, nodes = stored(edges.distinct()), stored(nodes_of(edges))
+    left = stored(edges.distinct())
+    nodes = stored(nodes_of(left))
     found: list[DataFrame] = []
     while True:
         layer = stored(nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(len(found))))
@@ -78,7 +81,7 @@ def layers(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): by colours. A colour is the greatest node that reaches a node; within a colour, what reaches that greatest node is its component."""
     links = stored(edges.where("src != dst").distinct())
-    open_nodes = stored(nodes_of(edges))
+    open_nodes = stored(nodes_of(edges))  # a node of a self-loop alone counts
     done: list[DataFrame] = []
     while not open_nodes.isEmpty():
         colours = stored(open_nodes.withColumn("colour", F.col("node")))
@@ -97,13 +100,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
         component = stored(members.join(colours, "node").select("node", F.col("colour").alias("component")))
         done.append(component)
         open_nodes = stored(open_nodes.join(component, "node", "left_anti"))
-        kept = links.join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        links = stored(kept.select("src", "dst"))
+        left = links.join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        links = stored(left.select("src", "dst"))
     return _all(done) if done else open_nodes.withColumn("component", F.col("node"))
 
 
 def chop(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(node): on a way from ``sources`` to ``targets``, both ends included."""
+    edges = kept(edges)
     return reach(edges, sources).select("node").intersect(reach(edges, targets, backward=True).select("node"))
 
 
