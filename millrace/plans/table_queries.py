@@ -192,8 +192,8 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL""")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by event type from the events as a stream."""
-    events = windows.event_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.run_to_end(windows.windowed_counts(events, "1 day", "40 days")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
+    events = windows.event_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return windows.run_to_end(events, "1 day").select("start", "event_type", "n", "cents")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
