@@ -277,6 +277,6 @@ def def_use_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def type3_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts by groups of equal word sequences, and the groups within a fifth of edits of each other."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("tokens"))
+    """Documents by groups of equal word sequences, and the groups within a fifth of edits of each other."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("tokens"))
     return clones.near_sequences(items, 0.8)
