@@ -166,3 +166,10 @@ def test_incremental(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string"), spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "k int, v string")
     assert {r.k: r.state for r in incremental.classify(old, new, "k", "v").collect()} == {1: "unchanged", 2: "changed", 3: "deleted", 4: "added"}
     assert sorted(map(tuple, incremental.apply_delta(old, new.where("k in (2, 4)"), old.where("k = 3"), "k").collect())) == sorted(map(tuple, new.collect()))
+
+
+def test_components_of_a_long_chain(spark):
+    """Round numbers do not grow with the length of a chain, and a hub costs no more than its leaves."""
+    pairs = [(i, i + 1) for i in range(1000)] + [(2000, 2001 + i) for i in range(500)]
+    found = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(1001)} | {(i, 2000) for i in range(2000, 2501)}
