@@ -2,21 +2,21 @@
 
 A fingerprint is cut into four 16-bit blocks. Two that differ in at most two
 bits differ in at most two blocks, so at least two blocks agree: the six pairs
-of blocks are the join keys (32 bits each, so that chance company in a bucket
-stays rare up to billions of fingerprints), and the Hamming distance of what
-meets is verified. Exact copies have one fingerprint and are counted before
-any join.
-
-A bucket with more than ``CROWD`` fingerprints is not paired. Its members go to
-an exact way that is linear in their number: each is put under its 65
-one-bit-or-less variants, and those under one variant, all within two bits of
-each other, are linked to the smallest of them. Two fingerprints are within two
-bits exactly if they share such a variant.
+of blocks are the first keys (32 bits each). What shares one has at most two
+differing bits in the 32 bits left, which are cut into four blocks of 8 in the
+same way, and what is left of those into four of 4: three levels of pigeonholes
+whose keys agree in 56 bits. A key of the last level holds at most 256 different
+fingerprints by its making, in a corpus of any size and with near copies in any
+number; those are joined and their Hamming distance is verified. Each level
+goes on only with what has company in the level before. Exact copies have one
+fingerprint and are counted before any join.
 
 Defined cases: null text is empty; a text without words has fingerprint zero
-and links like any other; fewer words than a shingle form one; repeated rows
-stay; rows with a null id take the smallest id of their component, null if it
-has none. Other columns are ignored or, in ``one_of_each``, kept.
+and links like any other; fewer words than a shingle form one; very long texts
+are read whole; repeated rows stay; rows with a null id take the smallest id of
+their component, null if it has none; an empty table gives an empty result.
+Ids may be of any type that orders. Only the columns of ids and texts are read,
+so others may have any names.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from millrace.lineage import discard, stored
 from millrace.operators.components import connected_components
 
 WORDS, SEED, NEAR = 3, 42, 2
-#: Fingerprints of a bucket up to which it is paired; larger ones take the exact linear way.
-CROWD = 32
+#: Bits of a block at each level of pigeonholes; four blocks a level.
+LEVELS = (16, 8, 4)
 #: Hashes whose bits are counted at once.
 SLICE = 1 << 14
 
@@ -67,61 +67,49 @@ def as_hex(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _block_keys() -> Column:
-    """Six keys of a fingerprint: the number of the pair of blocks, and the two blocks."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    return F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for k, (i, j) in enumerate(pairs)))
+def _keys(rest: str, bits: int) -> Column:
+    """Six structs for the low ``4 * bits`` bits of ``rest``: ``pair``, the two blocks under the pair's number, and ``rest``, the other two."""
+    block = [F.shiftrightunsigned(rest, bits * i).bitwiseAND((1 << bits) - 1) for i in range(4)]
 
+    def joined(i: int, j: int) -> Column:
+        return F.shiftleft(block[i], bits).bitwiseOR(block[j])
 
-def close_pairs(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join every two fingerprints of column ``fp`` within two bits, directly or through a chain of such.
+    pairs = [(i, j) for i in range(4) for j in range(i)]
+    others = [tuple({0, 1, 2, 3} - set(p)) for p in pairs]
+    return F.array(*(F.struct(F.lit(k << 2 * bits).cast("long").bitwiseOR(joined(*p)).alias("pair"), joined(*o).alias("rest")) for k, (p, o) in enumerate(zip(pairs, others))))
 
-    ``fps`` holds each fingerprint once.
-    """
-    keys = fps.select("fp", F.explode(_block_keys()).alias("key"))
-    buckets = stored(keys.groupBy("key").count().where("count > 1"))
-    shared = stored(keys.join(buckets, "key"))
-    discard(buckets)
 
-    few = shared.where(F.col("count") <= CROWD).select("key", "fp")
+def close_pairs(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) of all fingerprints of column ``fp`` within two bits of each other; ``fps`` holds each fingerprint once."""
+    held = fps.select("fp", F.col("fp").alias("rest"))
+    keys: list[str] = []
+    for level, bits in enumerate(LEVELS):
+        key = f"key{level}"
+        held = held.withColumn("k", F.explode(_keys("rest", bits))).select("fp", *keys, F.col("k.pair").alias(key), F.col("k.rest").alias("rest"))
+        keys.append(key)
+        if level == 0:
+            # Most fingerprints have no company: they go no further.
+            shared = held.groupBy(key).count().where("count > 1").select(key)
+            held = stored(held.join(shared, key))
+    left = held.select(*keys, F.col("fp").alias("a"))
+    met = left.join(held.select(*keys, F.col("fp").alias("b")), keys)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR
-    met = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key")
-    edges = met.where(F.col("a") < F.col("b")).where(near).select("a", "b")
-
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)))
-    crowded = shared.where(F.col("count") > CROWD).select("fp").distinct()
-    variants = stored(crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")))
-    middles = stored(variants.groupBy("variant").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    starred = variants.join(middles, "variant").where("fp != b").select(F.col("fp").alias("a"), "b")
-    return edges.unionByName(starred).distinct()
+    return met.where(F.col("a") < F.col("b")).where(near).select("a", "b")
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """(fp, root, first): for each distinct fingerprint of (id, fp) its component's root fingerprint and smallest id.
+    """(fp, first): for each distinct fingerprint of (id, fp) its component's smallest id.
 
     ``id`` may be any type that orders, a struct included.
     """
     alone = stored(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    linked = stored(connected_components(close_pairs(alone.select("fp"))))
-    rooted = stored(alone.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
-    firsts = stored(rooted.groupBy("root").agg(F.min("id").alias("first")))
-    return stored(rooted.select("fp", "root").join(firsts, "root"))
+    linked = alone.join(stored(connected_components(close_pairs(alone.select("fp")))).withColumnRenamed("node", "fp"), "fp")
+    firsts = linked.groupBy("root").agg(F.min("id").alias("first"))
+    told = linked.join(firsts, "root").select("fp", "first")
+    return alone.join(told, "fp", "left").select("fp", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first")).alias("first"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component): a row for each row of ``docs``; component: the smallest id reachable over close fingerprints."""
     prints = stored(docs.select(F.col(doc_id).alias("id"), fingerprint(text).alias("fp")))
-    return prints.join(grouped(prints).select("fp", F.col("first").alias("component")), "fp").select("id", "fp", "component")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (null last), of those rows the one whose text hashes lowest."""
-    whole = F.xxhash64(F.coalesce(text, F.lit("")))
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("of"), whole.alias("hash"))
-    prints = stored(docs.select(order.alias("id"), fingerprint(text).alias("fp")))
-    kept = grouped(prints).select("root", "first").distinct().select("first.*")
-    marked = docs.withColumns({"_none": F.col(doc_id).isNull(), "_of": F.col(doc_id), "_hash": whole})
-    same = (F.col("_hash") == F.col("hash")) & F.col("_of").eqNullSafe(F.col("of"))
-    joined = marked.join(stored(kept), same, "left_semi")
-    return joined.dropDuplicates(["_hash", "_of"]).drop("_none", "_of", "_hash")
+    return prints.join(grouped(prints).withColumnRenamed("first", "component"), "fp").select("id", "fp", "component")

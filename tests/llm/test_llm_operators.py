@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jpeg, media, piece_model, sentencepiece_ops, simhash, syncmers, token_counts, url_filters
+from millrace.llm import bpe, jpeg, media, near_copies, piece_model, sentencepiece_ops, simhash, syncmers, token_counts, url_filters
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -77,8 +77,7 @@ def test_pieces_keep_and_replace_columns(spark):
     assert [r.decoded for r in rows] == ["a b", "a b", ""] and rows[2].ids == []
 
 
-def test_simhash_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 3)
+def test_simhash_crowded_buckets(spark):
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(4)]
     prints = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3))) & (1 << 64) - 1 for b in base for _ in range(60)})
@@ -108,7 +107,7 @@ def _components(spark, signed):
 
 def test_one_of_each(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "quite another text here"), (2, "quite another text here"), (None, "lonely words of none"), (None, "lonely words of none"), (7, None), (8, "")]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(k.doc_id), k.text) for k in kept) == [("1", "a b c d e"), ("2", "quite another text here"), ("7", None), ("None", "lonely words of none")]
 
 

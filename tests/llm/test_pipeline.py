@@ -8,7 +8,7 @@ import sentencepiece
 
 import corpus_pipeline
 from millrace.llm import pii, toxicity
-from test_queries import brute_components, brute_targets
+from test_llm_queries import brute_components, brute_targets
 
 
 def rows(df):
