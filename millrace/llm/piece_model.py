@@ -1,6 +1,6 @@
 """A SentencePiece BPE model: normalising with alignment, encoding to pieces with source spans, decoding.
 
-Only plain Python and numpy; ``sentencepiece.py`` runs it in Spark tasks.
+Only plain Python and numpy; ``sentencepiece_ops.py`` runs it in Spark tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import struct
 
 import numpy as np
 
-from millrace.llm.bpe import NEVER, merge
+from millrace.llm.bpe import LONG, NEVER, PairTable, merge, merge_many
 
 SPACE = "▁"
 #: Types of a piece in the model file.
@@ -109,11 +109,49 @@ class PieceModel:
         # Nor from or to a character that stands in single-character pieces at most.
         joining = "".join(re.escape(c) for c in sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
         self.segments = re.compile(f"{SPACE}*[{joining}]+|{SPACE}+|[^{SPACE}{joining}]+" if apart and joining else r"(?s).+").findall
-        self.packed = _Segments(self)
+        self.packed: dict[str, bytes] = {}
+        self._prepare_many()
         # What decodes alone and always alike: not parts of characters, unknowns or controls.
         self.surface = [chr(self.of_byte[i]) if t == BYTE else p.replace(SPACE, " ") for i, (p, t) in enumerate(zip(self.pieces, self.types))]
         self.plain = np.array([t == NORMAL or t == BYTE and self.of_byte[i] < 128 for i, t in enumerate(self.types)])
 
+    def _prepare_many(self) -> None:
+        """Symbol numbers, their packed pieces and the table of pairs for merging many segments at once."""
+        known = sorted({c for p in self.ids for c in p} | set(self.ids))
+        self.symbol = {s: i for i, s in enumerate(known)}
+        self.of_symbol = np.array([self.ids[s] << 32 | len(s.encode()) if s in self.ids else -1 for s in known] or [-1], np.int64)
+        rank = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
+        self.pairs = PairTable((self.symbol[p[:i]], self.symbol[p[i:]], rank[self.rank[p]], self.symbol[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in self.symbol and p[i:] in self.symbol)
+        of_char = np.full(0x110000, -1, np.int32)
+        for s, i in self.symbol.items():
+            if len(s) == 1:
+                of_char[ord(s)] = i
+        self.of_char = of_char
+
+    def learn(self, segments: set[str]) -> None:
+        """Remember the packed pieces of ``segments``; if memory is full, of these only."""
+        new = segments - self.packed.keys()
+        if len(self.packed) + len(new) > MEMO:
+            self.packed.clear()
+            new = segments
+        short = [s for s in new if len(s) <= LONG]
+        if short:
+            symbols = self.of_char[np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            lengths = np.array(list(map(len, short)))
+            ends = np.cumsum(lengths)
+            # Units with characters of no piece, or that end in no piece, take the slow way.
+            strange = np.add.reduceat(symbols < 0, ends - lengths) > 0
+            merged, sizes = merge_many(symbols[np.repeat(~strange, lengths)].astype(np.int64), lengths[~strange], self.pairs)
+            packed, blob = self.of_symbol[merged], self.of_symbol[merged].tobytes()
+            plain = np.add.reduceat(packed < 0, np.cumsum(sizes) - sizes) == 0 if len(sizes) else []
+            bounds = (np.cumsum(np.append(0, sizes)) * 8).tolist()
+            for s, a, b, good in zip((s for s, odd in zip(short, strange) if not odd), bounds, bounds[1:], plain):
+                if good:
+                    self.packed[s] = blob[a:b]
+        for s in new:
+            if s not in self.packed:
+                self.packed[s] = self.encode_segment(s)
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its byte offsets (its end included), the source's byte offset."""
         source = text.encode()
@@ -179,14 +217,22 @@ class PieceModel:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and the end byte of each piece in the source text."""
-        normal, align = self.normalise(text)
-        packed = np.frombuffer(b"".join(map(self.packed.__getitem__, self.segments(normal))), "<i8")
-        ids, ends = (packed >> 32).astype(np.int32), np.cumsum(packed & 0xFFFFFFFF)
-        if not self.bytes and len(ids):  # runs of unknowns may meet at segment borders
-            last = np.flatnonzero(np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True))
-            ids, ends = ids[last], ends[last]
-        bounds = align[np.append(0, ends)]
-        return ids, bounds[:-1], bounds[1:]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]):
+        """``encode`` of each; segments that are new are merged together."""
+        normal = list(map(self.normalise, texts))
+        parts = [self.segments(n) for n, _ in normal]
+        self.learn(set().union(*parts))
+        packed_of = self.packed.__getitem__
+        for (_, align), segments in zip(normal, parts):
+            packed = np.frombuffer(b"".join(map(packed_of, segments)), "<i8")
+            ids, ends = (packed >> 32).astype(np.int32), np.cumsum(packed & 0xFFFFFFFF)
+            if not self.bytes and len(ids):  # runs of unknowns may meet at segment borders
+                last = np.flatnonzero(np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True))
+                ids, ends = ids[last], ends[last]
+            bounds = align[np.append(0, ends)]
+            yield ids, bounds[:-1], bounds[1:]
 
     def decode(self, ids) -> str:
         """The text of ``ids``: byte pieces joined into characters, control ids silent, the first space dropped."""
@@ -223,20 +269,6 @@ class PieceModel:
         return "".join(out)
 
 
-class _Segments(dict):
-    """Packed pieces of a segment, remembered if short, up to ``MEMO`` segments."""
-
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, segment: str) -> bytes:
-        out = self.model.encode_segment(segment)
-        if len(segment) <= 48 and len(self) < MEMO:
-            self[segment] = out
-        return out
-
-
 def decode_bytes(raw: bytes) -> str:
     """Well-formed characters; U+FFFD for each byte that belongs to none."""
     try:

@@ -3,7 +3,8 @@
 The normaliser takes the longest prefix that the model's compiled character
 map knows and records where in the source each output byte came from; pieces
 are found on the normalised text and projected back through that record.
-Segments between spaces are merged once and remembered, up to a bound.
+Segments between spaces that are new are merged together, a slice of texts at a
+time, and remembered up to a bound.
 
 Null text is encoded like the empty one: no ids. Rows are kept one to one,
 repeated rows and null ids included; existing columns of the outputs' names
@@ -31,7 +32,7 @@ def _model(path: str) -> PieceModel:
 
 
 #: Bytes of text, as Arrow holds them, whose pieces are made and handed on at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int):
@@ -62,7 +63,7 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] |
         model = _model(path)
         for batch in batches:
             for part in slices(batch, 0):
-                ids, begins, ends = map(list, zip(*(model.encode(t.as_py() or "") for t in part.column(0))))
+                ids, begins, ends = map(list, zip(*model.encode_all([t.as_py() or "" for t in part.column(0)])))
                 out = [_lists(ids), _lists(begins), _lists(ends)]
                 if decoded:
                     out.append(pa.array(map(model.decode, ids), pa.string()))
