@@ -8,11 +8,16 @@ of them, by a count over all URLs, is the rule's only entry in the index. The
 tokens of a URL fetch candidate rules by a join, and only those run their
 expression. Host rules come before bare patterns, longer ones before shorter.
 
+A rule without a literal stands under the empty token, which every URL has.
+
 Distinct URLs are judged once. The index has one row a rule; it is joined, not
-forced to be broadcast, so its size has no bound to keep.
+forced to be broadcast, so its size has no bound to keep. What was found for
+URLs grows with them and is joined by sorting.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and
-is allowed unless a rule says otherwise; repeated rows and null ids stay.
+is allowed unless a rule says otherwise; very long URLs are read whole; repeated
+rows and null ids stay; an empty table gives an empty result; existing columns
+of the outputs' names are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
+from millrace.names import free
 
 #: (verdict, host, path prefix).
 HOST_RULES = (
@@ -66,12 +72,13 @@ def path_of(url: str) -> Column:
 
 
 def _tokens(text: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
+    """Tokens of ``text``, the empty one always among them."""
+    return F.array_distinct(F.array_append(F.split(F.lower(text), "[^a-z0-9]+"), F.lit("")))
 
 
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """``rules`` with ``token``: of their literals the one in the fewest of ``urls``, the longest and first of equals."""
-    literals = rules.select("rule", "grade", F.explode("tokens").alias("token"))
+    literals = rules.select("rule", "grade", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
     seen = urls.select(F.explode(_tokens("target")).alias("token")).join(literals.select("token").distinct(), "token").groupBy("token").count()
     best = Window.partitionBy("rule", "grade").orderBy(F.coalesce("count", F.lit(0)), F.length("token").desc(), "token")
     chosen = literals.join(seen, "token", "left").withColumn("nth", F.row_number().over(best)).where("nth = 1")
@@ -80,18 +87,20 @@ def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, url: str = "url", rules: DataFrame | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the host rule that decides, else null), ``pattern_rule`` and ``verdict``."""
-    made = ("host", "path", "rule", "pattern_rule", "verdict", "_target")
+    made = ("host", "path", "rule", "pattern_rule", "verdict")
     rules = rule_table(pages.sparkSession) if rules is None else rules
-    parts = pages.drop(*made).withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("_target", F.concat("host", "path"))
-    urls = stored(parts.select(F.col("_target").alias("target")).distinct())
+    parts = pages.drop(*made).withColumns({"host": host_of(url), "path": path_of(url)})
+    whole, target, best = free(parts, "whole", "target", "best")
+    parts = parts.withColumn(whole, F.concat("host", "path"))
+    urls = stored(parts.select(F.col(whole).alias("target")).distinct())
     entries = stored(index(rules, urls))
     candidates = urls.select("target", F.explode(_tokens("target")).alias("token")).join(entries, "token")
     fits = candidates.where(F.rlike("target", F.col("pattern")) & ((F.col("grade") == 0) | F.col("target").contains("/")))
-    found = fits.groupBy("target").agg(F.max(F.struct("grade", "length", "rule", "verdict")).alias("best"))
-    joined = parts.join(stored(found), F.col("_target") == F.col("target"), "left")
-    of_host = F.col("best.grade") == 1
+    found = fits.groupBy(F.col("target").alias(target)).agg(F.max(F.struct("grade", "length", "rule", "verdict")).alias(best))
+    joined = parts.join(stored(found).hint("merge"), F.col(whole) == F.col(target), "left")
+    of_host = F.col(f"{best}.grade") == 1
     return joined.withColumns({
-        "rule": F.when(of_host, F.col("best.rule")),
-        "pattern_rule": F.when(~of_host, F.col("best.rule")),
-        "verdict": F.coalesce("best.verdict", F.lit(DEFAULT)),
-    }).drop("_target", "target", "best")
+        "rule": F.when(of_host, F.col(f"{best}.rule")),
+        "pattern_rule": F.when(~of_host, F.col(f"{best}.rule")),
+        "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(DEFAULT)),
+    }).drop(whole, target, best)
