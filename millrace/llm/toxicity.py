@@ -6,15 +6,19 @@ of its smoothed share among the toxic to that among the other rows scales the
 feature; a logistic regression on the scaled features gives the weights.
 
 Only the fit looks at a sample: of the labelled rows that may be learnt from,
-``SAMPLE`` of each class at most, those whose ids hash lowest. That bounds what
-reaches the driver; the share of toxic rows, from all labels, then corrects the
+``SAMPLE`` of each class at most, those whose ids hash lowest, one row an id.
+Spark counts their buckets; the driver gets the counts (2^20 rows at most) and,
+of each sampled row, the buckets that were chosen as features, whatever the
+lengths of texts. The share of toxic rows, from all labels, then corrects the
 intercept. The weights, 4 MB at any corpus size, are broadcast, and every whole
 text is scored.
 
 Defined cases: null text is the empty one, which has no n-grams and scores the
 intercept; labels repeated for an id count once, toxic if any says so; null
 labels and labels without a document are ignored; without labels of both
-classes the score is the share of toxic ones, 0 if there are no labels.
+classes the score is the share of toxic ones, 0 if there are no labels; of rows
+that share an id the fit sees the text whose hash is least; an empty table gives
+an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.lineage import discard, stored
+
 GRAMS, BITS = (3, 4, 5), 20
 #: Labelled rows of each class that the fit sees at most.
 SAMPLE = 1500
@@ -73,26 +79,24 @@ def features(text: str | None) -> np.ndarray:
     return _distinct[0](buckets(text or ""))
 
 
-@F.arrow_udf(T.BinaryType())
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _features(texts: pa.Array) -> pa.Array:
-    return pa.array((features(t.as_py()).tobytes() for t in texts), pa.binary())
+    return pa.array((features(t.as_py()) for t in texts), pa.list_(pa.int32()))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """Weights of all buckets and the intercept, from the features and labels of the sample."""
-    size = 1 << BITS
-    if not len(rows) or toxic.all() or not toxic.any():
-        return np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    # A row has each of its buckets once; rows are gone through one by one, so that only features are held.
-    with_, without = np.zeros(size), np.zeros(size)
-    for ids, label in zip(rows, toxic):
-        (with_ if label else without)[ids] += 1
+def ratios(with_: np.ndarray, without: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The log-count ratio of each bucket that ``with_`` of ``n1`` toxic and ``without`` of ``n0`` other rows have; 0 for those that are no feature."""
     ratio = np.log((with_ + SMOOTH) / (with_ + SMOOTH).sum()) - np.log((without + SMOOTH) / (without + SMOOTH).sum())
     # Buckets whose share of rows differs between the classes by chance are left out.
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     share_of = (with_ + without) / (n1 + n0)
     spread = np.sqrt(np.maximum(share_of * (1 - share_of), 1e-12) * (1 / n1 + 1 / n0))
     ratio[np.abs(with_ / n1 - without / n0) < CLEAR * spread] = 0
+    return ratio
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and the intercept, from the features and labels of the sample and ``ratios``."""
+    size = 1 << BITS
     live = np.flatnonzero(ratio)
     column = np.full(size, -1, np.int32)
     column[live] = np.arange(len(live))
@@ -129,9 +133,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     some = [usable.where(F.col("toxic") == v).orderBy(*order).limit(SAMPLE) for v in (0, 1)]
     sample = some[0].unionByName(some[1]).withColumnsRenamed({"doc_id": "_id", "toxic": "_toxic"})
     # At most 2 * SAMPLE ids, whatever the tables' sizes.
-    known = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select("_id", "_toxic", F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), _features(F.col(text)).alias("_f"))
-    rows = sorted(known.collect(), key=lambda r: (r["_id"], r["_h"]))
-    return fit([np.frombuffer(r["_f"], np.int32) for r in rows], np.array([r["_toxic"] for r in rows], int), share)
+    text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
+    met = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), text_hash.alias("_h")).join(F.broadcast(sample), "_id")
+    one = met.groupBy("_id", "_toxic").agg(F.min_by("_text", "_h").alias("_text"))
+    known = stored(one.select("_id", "_toxic", _features("_text").alias("_f")))
+    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    with_, without = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r in known.select("_toxic", F.explode("_f").alias("_b")).groupBy("_b").agg(F.sum("_toxic").alias("w"), F.count("*").alias("n")).toLocalIterator():
+        with_[r["_b"]], without[r["_b"]] = r["w"], r["n"] - r["w"]
+    ratio = ratios(with_, without, sizes[1], sizes[0])
+    live = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    @F.arrow_udf(T.BinaryType())
+    def chosen(lists: pa.Array) -> pa.Array:
+        found = (x.values.to_numpy() for x in lists)
+        return pa.array((ids[live.value[ids]].tobytes() for ids in found), pa.binary())
+
+    rows = sorted(known.select("_id", "_toxic", chosen("_f").alias("_f")).collect(), key=lambda r: r["_id"])
+    discard(known)
+    return fit([np.frombuffer(r["_f"], np.int32) for r in rows], np.array([r["_toxic"] for r in rows], int), share, ratio)
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
