@@ -22,8 +22,10 @@ hashes (gram, and hull or window) at once.
 
 Defined cases: null text is the empty one; texts under ``LENGTH`` bytes lose
 nothing; repeated rows are each other's copies; rows are told apart by id and
-text, so null or repeated ids are fine; other columns are kept, and existing
-ones of the outputs' names replaced.
+a hash of their text, so null or repeated ids are fine, and ids may be of any
+type that Arrow holds; only ids and texts are read and only ids and what was
+found returned, so other columns may have any names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.lineage import discard, stored
 from millrace.llm import byte_anchors as ba
@@ -94,12 +97,12 @@ def _hull_rows(joined: DataFrame) -> DataFrame:
                 out = [{"doc": row["doc"], **c, "hull": raw[(f := c["at"] & 0xFFFFFFFF) : f + c["more"] + ba.LENGTH]} for c in row["classes"]]
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    target = pa.schema([("doc", batch_type(kind)), ("at", pa.int64()), ("more", pa.int32()), ("gram", pa.int64()), ("alone", pa.bool_()), ("busy", pa.bool_()), ("hull", pa.binary())])
+    target = pa.schema([("doc", batch_type(joined.schema["doc"].dataType)), ("at", pa.int64()), ("more", pa.int32()), ("gram", pa.int64()), ("alone", pa.bool_()), ("busy", pa.bool_()), ("hull", pa.binary())])
     return joined.mapInArrow(run, f"doc {kind}, at long, more int, gram long, alone boolean, busy boolean, hull binary")
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def batch_type(kind: T.DataType) -> pa.DataType:
+    return to_arrow_type(kind)
 
 
 def _windows(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
