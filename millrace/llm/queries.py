@@ -58,19 +58,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir).withColumn("tie", F.xxhash64("text"))
-    led = syncmers.with_next(docs, "doc_id", ["text", "sketch"], "tie", prepare=syncmers.with_sketch)
+    led = syncmers.with_next(docs, "doc_id", ["text"], "tie")
     third = F.floor(F.col("n_chars") / 3).cast("int")
     sized = led.withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = sized.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr("next_text", F.lit(1), third)))
-    both = syncmers.with_sketch(edited, "edited", "edited_sketch")
-    return both.select(
+    marked = sized.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr("next_text", F.lit(1), third)))
+    for text in ("text", "edited", "next_text"):
+        marked = syncmers.with_marks(marked, text, f"{text}_marks")
+    return marked.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        syncmers.as_text("sketch").alias("fingerprint"),
-        syncmers.as_text("edited_sketch").alias("edited_fingerprint"),
-        syncmers.likeness("sketch", "edited_sketch").alias("near_edited"),
-        syncmers.likeness("sketch", "next_sketch").alias("near_next"),
+        syncmers.as_text("text_marks").alias("fingerprint"),
+        syncmers.as_text("edited_marks").alias("edited_fingerprint"),
+        syncmers.likeness("text_marks", "edited_marks").alias("near_edited"),
+        syncmers.likeness("text_marks", "next_text_marks").alias("near_next"),
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jpeg, media, near_copies, piece_model, sentencepiece_ops, simhash, syncmers, token_counts, url_filters
+from millrace.llm import bpe, jpeg, media, mixing, near_copies, piece_model, sentencepiece_ops, simhash, syncmers, token_counts, url_filters
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -126,12 +126,37 @@ def test_syncmers_are_context_free(spark):
     assert [p.at for p in got[1]] == want
 
 
-def test_edited_text_likeness(spark):
-    same = syncmers.with_sketch(spark.createDataFrame([("a b c d e f", "a b c d e f", "k l m n o p")], "x string, y string, z string"), "x", "p")
-    for name, out in (("y", "q"), ("z", "r")):
-        same = syncmers.with_sketch(same, name, out)
-    row = same.select(syncmers.likeness("p", "q").alias("one"), syncmers.likeness("p", "r").alias("none")).first()
-    assert (row.one, row.none) == (1.0, 0.0)
+def test_likeness_is_positional(spark):
+    r = random.Random(13)
+    words = [f"w{r.randint(0, 90)}" for _ in range(300)]
+    halves = " ".join(words[150:] + words[:150])
+    mixed = words[:]
+    r.shuffle(mixed)
+    row = spark.createDataFrame([(" ".join(words), " ".join(["x", "y"] + words), halves, " ".join(mixed), "東京都は日本の首都です", "大阪と東京都は日本の首都")], "a string, shifted string, halves string, mixed string, p string, q string")
+    for c in row.columns:
+        row = syncmers.with_marks(row, c, f"{c}_m")
+    got = row.select(*(syncmers.likeness("a_m", f"{c}_m").alias(c) for c in ("a", "shifted", "halves", "mixed")), syncmers.likeness("p_m", "q_m").alias("letters")).first()
+    assert got.a == 1 and got.shifted > 0.95 and got.halves > 0.95 and got.mixed < 0.1 and got.letters > 0.5
+
+
+def test_clashing_columns(spark):
+    """Names that operators use inside are kept where they are a user's."""
+    names = ["cut", "of", "epochs", "rest", "room", "best", "target", "whole", "range", "guest", "first", "earlier", "hashes", "anchors", "row", "cell", "part", "hash", "none"]
+    df = spark.createDataFrame([(i, "http://x.com/de/9", f"text of {i}", 3 + i, "s", *range(len(names))) for i in range(5)], "doc_id long, url string, text string, size long, source string, " + ", ".join(f"`{n}` int" for n in names))
+    judged = url_filters.judged(df)
+    mixed = mixing.mixed(df.withColumn("key", mixing.random_key("doc_id", "text")))
+    led = syncmers.with_marks(syncmers.with_next(df, "doc_id", ["text"], "text"))
+    kept = near_copies.one_of_each(df)
+    for out in (judged, mixed.withColumnRenamed("target", "target_"), led, kept):
+        row = {r.doc_id: r for r in out.collect()}[0]
+        assert all(row[n] == i for i, n in enumerate(names) if n in row and n != "target")
+        assert set(names) - {"target"} <= set(out.columns)
+
+
+def test_a_rule_without_literals(spark):
+    rules = url_filters.rule_table(spark, host_rules=(("block", "--", "/"),), word_rules=())
+    got = url_filters.judged(spark.createDataFrame([(1, "http://--/a"), (2, "http://x.y/a")], "page_id long, url string"), rules=rules).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow"}
 
 
 def slow_blocks(image):
