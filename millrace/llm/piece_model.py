@@ -16,7 +16,7 @@ SPACE = "▁"
 #: Types of a piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered segments in a Python worker.
-MEMO = 200_000
+MEMO = 120_000
 
 
 def fields(data: bytes):

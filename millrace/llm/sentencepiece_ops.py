@@ -32,7 +32,7 @@ def _model(path: str) -> PieceModel:
 
 
 #: Bytes of text, as Arrow holds them, whose pieces are made and handed on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int):
