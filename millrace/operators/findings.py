@@ -100,3 +100,9 @@ def mermaid(edges: DataFrame, graph_of: str) -> DataFrame:
     """(graph_of, value): a flow chart for each graph of (graph_of, src, dst, label)."""
     line = F.concat(F.lit("    "), F.col("src").cast("string"), F.when(F.col("label").isNotNull(), F.concat(F.lit(" -->|"), "label", F.lit("| "))).otherwise(" --> "), F.col("dst").cast("string"))
     return edges.groupBy(graph_of).agg(F.concat_ws("\n", F.lit("flowchart TD"), F.array_sort(F.collect_list(line))).alias("value"))
+
+
+def dot(edges: DataFrame, graph_of: str) -> DataFrame:
+    """(graph_of, value): a DOT text for each graph of (graph_of, src, dst)."""
+    line = F.concat(F.lit('    "'), F.col("src").cast("string"), F.lit('" -> "'), F.col("dst").cast("string"), F.lit('";'))
+    return edges.groupBy(graph_of).agg(F.concat_ws("\n", F.lit("digraph {"), F.concat_ws("\n", F.array_sort(F.collect_list(line))), F.lit("}")).alias("value"))
