@@ -112,12 +112,13 @@ def call_edges(parsed: DataFrame) -> DataFrame:
 
     A candidate scores 100 if its module is imported by the caller's file or is
     that file, 50 in the same folder, 25 under the same first folder; the best
-    wins, of equals the first file, then the first name. Calls without a
-    candidate have no edge.
+    wins, of equals the first file, then the first name. Names given by ``import
+    ... as`` are taken back first. Calls without a candidate have no edge.
     """
     functions, calls, imports = (relation(parsed, n) for n in ("functions", "calls", "imports"))
     seen = imports.select(F.col("file").alias("by"), F.element_at(F.split("module", r"\."), -1).alias("module")).distinct()
-    sites = calls.select("file", "caller", "target", "line").distinct()
+    renamed = imports.where("name is not null and alias <> name").groupBy("file", F.col("alias").alias("target")).agg(F.min("name").alias("named"))
+    sites = calls.join(renamed, ["file", "target"], "left").select("file", "caller", F.coalesce("named", "target").alias("target"), "line").distinct()
     candidates = functions.select(F.col("name").alias("target"), F.col("file").alias("at"), "qualified", F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1).alias("stem"))
     met = sites.join(candidates, "target").join(seen, (F.col("by") == F.col("file")) & (F.col("module") == F.col("stem")), "left")
     score = F.when((F.col("at") == F.col("file")) | F.col("module").isNotNull(), 100).otherwise(0) + F.when(_directory("at") == _directory("file"), 50).otherwise(0) + F.when(F.split("at", "/")[1] == F.split("file", "/")[1], 25).otherwise(0)
