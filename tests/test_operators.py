@@ -1,5 +1,7 @@
 """Hand-built cases of graphs, dataflow, metrics, deltas and vectors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,26 +19,46 @@ def one(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-CALLS = (("main", "process"), ("process", "validate"), ("validate", "helper"), ("test_helper", "helper"))
+def drawn(seed, nodes=14, n=22):
+    """A random graph, loops and repeats left out."""
+    r = random.Random(seed)
+    pairs = {(f"k{r.randrange(nodes):02}", f"k{r.randrange(nodes):02}") for _ in range(n)}
+    return sorted(p for p in pairs if p[0] != p[1])
+
+
+def walked(pairs, start, depth=None):
+    """Breadth first: what ``start`` reaches and how far it is."""
+    found, ring, far = {start: 0}, {start}, 0
+    while ring and far != depth:
+        far += 1
+        ring = {b for a, b in pairs if a in ring} - found.keys()
+        found |= dict.fromkeys(ring, far)
+    return found
 
 
-@pytest.mark.parametrize("depth,want", [(None, {"helper": 0, "validate": 1, "test_helper": 1, "process": 2, "main": 3}), (1, {"helper": 0, "validate": 1, "test_helper": 1}), (0, {"helper": 0})])
-def test_impact(spark, depth, want):
-    got = graph.reach(edges(spark, *CALLS), one(spark, "helper"), depth, backward=True).collect()
-    assert {r.node: r.distance for r in got} == want
+@pytest.mark.parametrize("depth", [None, 0, 1, 2])
+@pytest.mark.parametrize("backward", [False, True])
+def test_reach_of_random_graphs(spark, depth, backward):
+    pairs = drawn(5)
+    turned = [(b, a) for a, b in pairs] if backward else pairs
+    got = graph.reach(edges(spark, *pairs), one(spark, "k03"), depth, backward=backward).collect()
+    assert {r.node: r.distance for r in got} == walked(turned, "k03", depth)
 
 
-def test_impact_of_unknown_and_diamond(spark):
-    assert graph.reach(edges(spark, *CALLS), one(spark, "nobody"), backward=True).count() == 1
-    diamond = edges(spark, ("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"))
-    assert [r.distance for r in graph.reach(diamond, one(spark, "D"), backward=True).where("node = 'A'").collect()] == [2]
+def test_reach_of_a_node_without_edges(spark):
+    assert [r.node for r in graph.reach(edges(spark, *drawn(5)), one(spark, "elsewhere")).collect()] == ["elsewhere"]
 
 
-def test_roles_and_layers(spark):
-    chain = edges(spark, ("main", "process"), ("process", "helper"))
-    assert {r.node: r.role for r in graph.roles(chain).collect()} == {"main": "entry", "process": "middle", "helper": "leaf"}
-    assert {r.node: r.layer for r in graph.layers(chain).collect()} == {"main": 0, "process": 1, "helper": 2}
-    assert graph.layers(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"))).count() == 0
+def test_roles_and_layers_of_random_graphs(spark):
+    pairs = [(min(p), max(p)) for p in drawn(6)]  # no cycles
+    ins, outs = {b for _, b in pairs}, {a for a, _ in pairs}
+    want = {n: "entry" if n not in ins else "leaf" if n not in outs else "middle" for n in ins | outs}
+    assert {r.node: r.role for r in graph.roles(edges(spark, *pairs)).collect()} == want
+    level = {}
+    for n in sorted(ins | outs):
+        level[n] = max((level[a] + 1 for a, b in pairs if b == n), default=0)
+    assert {r.node: r.layer for r in graph.layers(edges(spark, *pairs)).collect()} == level
+    assert graph.layers(edges(spark, ("p", "q"), ("q", "r"), ("r", "p"))).count() == 0
 
 
 @pytest.mark.parametrize("pairs,want", [
