@@ -18,28 +18,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark then drops a query's shuffle files when it ends; of use only where nothing reads them again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
-def _without_leftovers(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Unlike a persisted block, the files outlive any executor. They go with
     the session's checkpoint folder; ``discard`` drops them earlier. The
-    shuffle files of the write go when it ends.
+    shuffle files of the write go when it ends. ``batch`` bounds the rows of
+    an Arrow batch, where rows are wide.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with _without_leftovers(spark):
+    with _set(spark, {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
