@@ -37,6 +37,8 @@ SAMPLE = 1500
 ROUNDS, PENALTY, SMOOTH = 60, 1e-3, 1.0
 #: Standard errors by which a bucket's share of toxic and of other rows must differ to be a feature.
 CLEAR = 5.0
+#: Texts of an Arrow batch of features, which are some ten times as wide.
+BATCH = 64
 #: From this score on a text counts as toxic.
 TOXIC = 0.3
 
@@ -136,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
     met = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), text_hash.alias("_h")).join(F.broadcast(sample), "_id")
     one = met.groupBy("_id", "_toxic").agg(F.min_by("_text", "_h").alias("_text"))
-    known = stored(one.select("_id", "_toxic", _features("_text").alias("_f")))
+    known = stored(one.select("_id", "_toxic", _features("_text").alias("_f")), BATCH)
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
@@ -151,8 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         found = (x.values.to_numpy() for x in lists)
         return pa.array((ids[live.value[ids]].tobytes() for ids in found), pa.binary())
 
-    rows = sorted(known.select("_id", "_toxic", chosen("_f").alias("_f")).collect(), key=lambda r: r["_id"])
+    narrow = stored(known.select("_id", "_toxic", chosen("_f").alias("_f")), BATCH)
+    rows = sorted(narrow.collect(), key=lambda r: r["_id"])
     discard(known)
+    discard(narrow)
     return fit([np.frombuffer(r["_f"], np.int32) for r in rows], np.array([r["_toxic"] for r in rows], int), share, ratio)
 
 
