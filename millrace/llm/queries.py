@@ -123,7 +123,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    sized = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("group"))
+    sized = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("group"))
     dealt = sharding.sharded(sized, shards=SHARDS)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -3,6 +3,26 @@ import pytest
 WORDS = "the of and thon ering tion wh ou Edge café naïve 東京 x1 3.5 --- zz".split()
 
 
+TURN_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def _turns():
+    """(conv_id, turn, role, text): all kinds of damage, gaps, wrong and missing roles, blank and repeated turns, nulls."""
+    import random
+
+    random.seed(5)
+    rows = []
+    for conv in [*range(60), None]:
+        for turn in range(random.randint(1, 9)):
+            role = random.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None])
+            text = random.choice(["Yes.", "No!", "and so", " \n", "", None, f"Turn {turn}?  ", "Long one. " * 50, "x\u2003"])
+            rows += [(conv, turn if random.random() > 0.1 else turn + 2 if random.random() > 0.5 else None, role, text)] if random.random() > 0.15 else []
+    return [*rows, *rows[:7], (7, 0, "user", "Same turn, other text."), (None, None, None, None)]
+
+
+TURNS = _turns()
+
+
 def prose(random, n):
     return " ".join(random.choice(WORDS) for _ in range(n))
 
@@ -37,6 +57,7 @@ def sf_dir(docs, tmp_path_factory, spark):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     urls = ["http://a.example.org/es/1", "https://EXAMPLE.org/en/17?q", "http://x.com/fr/", "http://x.com/de/9#t", "http://x.net/casino-win", "ftp://x.org", "x.org/es/", "", None, "http://x.org?/es/", "http://borg/es/", "http://a.example.org/es/1"]
     spark.createDataFrame([(i if i != 3 else None, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(TURNS, TURN_SCHEMA).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -46,4 +67,5 @@ def empty_dir(docs, tmp_path_factory, spark):
     docs.limit(0).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([], TURN_SCHEMA).write.parquet(f"{path}/conversations.parquet")
     return path
