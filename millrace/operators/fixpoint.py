@@ -20,13 +20,16 @@ class Found:
     """Rows found so far; ``add`` takes new ones and gives those that are new as a written table."""
 
     def __init__(self, columns: list[str]):
-        self.columns, self.tables, self.newest = columns, [], None
+        self.columns, self.tables, self.newest, self.merged = columns, [], None, None
 
     def add(self, rows: DataFrame) -> DataFrame:
         fresh = rows.select(*self.columns).distinct()
         for _, table in self.tables:
             fresh = fresh.join(table, self.columns, "left_anti")
         self.newest = stored(fresh)
+        if self.merged is not None:  # only now has no plan more use for it
+            discard(self.merged)
+            self.merged = None
         return self.newest
 
     def keep(self) -> None:
@@ -35,9 +38,10 @@ class Found:
         while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
             (rank, a), (_, b) = self.tables.pop(), self.tables.pop()
             self.tables.append((rank + 1, stored(a.unionByName(b))))
-            # The newest table is still joined in this round.
             for old in (a, b):
-                if old is not self.newest:
+                if old is self.newest:  # the next round still joins it
+                    self.merged = old
+                else:
                     discard(old)
 
     def all(self) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
+from millrace.operators.fixpoint import closure
 
 _PATH = ["entry", "entry_fact", "node", "fact"]
 _SUMMARY = ["site", "site_fact", "to_node", "to_fact"]
@@ -55,3 +56,24 @@ def path_edges(flow: DataFrame, calls: DataFrame, returns: DataFrame, seeds: Dat
 def holding(paths: DataFrame) -> DataFrame:
     """(node, fact) that hold."""
     return paths.select("node", "fact").distinct()
+
+
+def relevant(flow: DataFrame, calls: DataFrame, returns: DataFrame, queries: DataFrame) -> DataFrame:
+    """(node, fact) from which ``queries`` (node, fact) can be reached, calls and returns not matched: more places than matter, and none too few."""
+    place = lambda df, node, fact, to, to_fact: df.select(F.col(to).alias("node"), F.col(to_fact).alias("fact"), F.col(node).alias("from_node"), F.col(fact).alias("from_fact"))
+    back = stored(_union([place(flow, "node", "fact", "to_node", "to_fact"), place(calls, "site", "fact", "entry", "entry_fact"), place(returns, "exit", "fact", "to_node", "to_fact")]).distinct())
+    return closure(queries.select("node", "fact"), lambda new: new.join(back, ["node", "fact"]).select(F.col("from_node").alias("node"), F.col("from_fact").alias("fact")))
+
+
+def demanded(flow: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame, queries: DataFrame) -> DataFrame:
+    """Path edges at the places that ``queries`` (node, fact) ask for: the same rows as ``path_edges`` has there.
+
+    What cannot lead to a query is left out before the tabulation begins, from
+    each relation and the seeds, so that it reads and grows only what may
+    matter.
+    """
+    useful = stored(relevant(flow, calls, returns, queries))
+    leading = lambda df, node, fact: df.join(useful.select(F.col("node").alias(node), F.col("fact").alias(fact)), [node, fact], "left_semi")
+    some = [stored(leading(flow, "to_node", "to_fact")), stored(leading(calls, "entry", "entry_fact")), stored(leading(returns, "to_node", "to_fact"))]
+    paths = path_edges(*some, leading(seeds, "node", "fact"))
+    return paths.join(queries.select("node", "fact").distinct(), ["node", "fact"], "left_semi")
