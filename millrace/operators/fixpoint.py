@@ -1,9 +1,9 @@
 """Least fixpoints of relations, semi-naive.
 
 A round joins the newest rows only and keeps, by an anti join, what no earlier
-round found. What was found lies in tables that are merged as the digits of a
-binary counter carry: after r rounds there are about log2(r) of them, and a row
-is written again about log2(r) times, however many rounds follow.
+round found. What was found lies in tables that are merged as the digits of a counter
+to base 4 carry: after r rounds there are at most 3 log4(r) of them, and a row
+is written again about log4(r) times, however many rounds follow.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from millrace.lineage import discard, stored
 
 
+BASE = 4
+
+
 class Found:
     """Rows found so far; ``add`` takes new ones and gives those that are new as a written table."""
 
@@ -35,10 +38,10 @@ class Found:
     def keep(self) -> None:
         """Count the newest rows as found, when the round no longer needs them apart from the others."""
         self.tables.append((0, self.newest))
-        while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
-            (rank, a), (_, b) = self.tables.pop(), self.tables.pop()
-            self.tables.append((rank + 1, stored(a.unionByName(b))))
-            for old in (a, b):
+        while len(self.tables) >= BASE and self.tables[-1][0] == self.tables[-BASE][0]:
+            full, rank = [t for _, t in self.tables[-BASE:]], self.tables[-1][0] + 1
+            self.tables[-BASE:] = [(rank, stored(reduce(DataFrame.unionByName, full)))]
+            for old in full:
                 if old is self.newest:  # the next round still joins it
                     self.merged = old
                 else:

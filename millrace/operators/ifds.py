@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
-from millrace.operators.fixpoint import closure
+from millrace.operators.fixpoint import Found, closure
 
 _PATH = ["entry", "entry_fact", "node", "fact"]
 _SUMMARY = ["site", "site_fact", "to_node", "to_fact"]
@@ -24,11 +24,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _new(found: DataFrame, known: list[DataFrame], keys: list[str]) -> DataFrame:
-    fresh = found.distinct()
-    return stored(fresh.join(_union(known), keys, "left_anti") if known else fresh)
-
-
 def path_edges(flow: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame) -> DataFrame:
     """(entry, entry_fact, node, fact): what holds at places of a procedure if (entry, entry_fact) holds where it begins; from ``seeds`` (node, fact).
 
@@ -36,21 +31,26 @@ def path_edges(flow: DataFrame, calls: DataFrame, returns: DataFrame, seeds: Dat
     summaries, and all path edges with the newest summaries.
     """
     at = lambda df, node, fact: df.select(F.col(node).alias("entry"), F.col(fact).alias("entry_fact"), F.col(node).alias("node"), F.col(fact).alias("fact"))
-    paths, summaries = [_new(at(seeds, "node", "fact"), [], _PATH)], []
+    past = lambda path, over: path.join(over.withColumnsRenamed({"site": "node", "site_fact": "fact"}), ["node", "fact"]).select("entry", "entry_fact", F.col("to_node").alias("node"), F.col("to_fact").alias("fact"))
     callers = calls.withColumnRenamed("fact", "site_fact")
-    while True:
-        newest = paths[-1]
+    paths, short = Found(_PATH), Found(_SUMMARY)
+    newest = paths.add(at(seeds, "node", "fact"))
+    while not newest.isEmpty():
+        paths.keep()
         ended = newest.join(returns.withColumnRenamed("exit", "node"), ["node", "fact"]).join(callers, ["site", "entry", "entry_fact"])
-        summary = _new(ended.select(*_SUMMARY), summaries, _SUMMARY)
-        summaries.append(summary)
+        summary = short.add(ended)
         step = newest.join(flow, ["node", "fact"]).select("entry", "entry_fact", F.col("to_node").alias("node"), F.col("to_fact").alias("fact"))
         entered = newest.select(F.col("node").alias("site"), F.col("fact").alias("site_fact")).join(callers, ["site", "site_fact"])
-        past = lambda path, over: path.join(over.withColumnsRenamed({"site": "node", "site_fact": "fact"}), ["node", "fact"]).select("entry", "entry_fact", F.col("to_node").alias("node"), F.col("to_fact").alias("fact"))
-        found = _union([step, at(entered, "entry", "entry_fact"), past(newest, _union(summaries)), past(_union(paths), summary)])
-        new = _new(found, paths, _PATH)
-        if new.isEmpty():
-            return _union(paths)
-        paths.append(new)
+        found = [step, at(entered, "entry", "entry_fact")]
+        if short.tables:
+            found.append(past(newest, short.all()))
+        grown = not summary.isEmpty()
+        if grown:
+            found.append(past(paths.all(), summary))
+        newest = paths.add(_union(found))
+        if grown:
+            short.keep()
+    return paths.all() if paths.tables else newest
 
 
 def holding(paths: DataFrame) -> DataFrame:

@@ -31,11 +31,15 @@ def summaries(inside: DataFrame, param_in: DataFrame, param_out: DataFrame) -> D
         reaching.keep()
         through = short.add(newest.withColumnRenamed("node", "given").join(calls, ["taken", "given"]))
         ahead = newest.join(steps, "node").select("taken", F.col("dst").alias("node"))
-        over = reaching.all().join(through.withColumnRenamed("passed", "node"), "node").select("taken", F.col("received").alias("node"))
+        over = lambda rows, by: rows.join(by.withColumnRenamed("passed", "node"), "node").select("taken", F.col("received").alias("node"))
         if short.tables:  # what the newest rows reach by summaries of earlier rounds
-            over = over.unionByName(newest.join(short.all().withColumnRenamed("passed", "node"), "node").select("taken", F.col("received").alias("node")))
-        newest = reaching.add(ahead.unionByName(over))
-        short.keep()
+            ahead = ahead.unionByName(over(newest, short.all()))
+        grown = not through.isEmpty()
+        if grown:
+            ahead = ahead.unionByName(over(reaching.all(), through))
+        newest = reaching.add(ahead)
+        if grown:
+            short.keep()
     return short.all().select(F.col("passed").alias("src"), F.col("received").alias("dst")) if short.tables else calls.select(F.col("passed").alias("src"), F.col("received").alias("dst"))
 
 
