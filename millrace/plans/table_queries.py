@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as vx
-from millrace.operators import incremental, measures, nearest
+from millrace.lineage import stored
+from millrace.operators import components, incremental, measures, nearest
 from millrace.sources.tables import table
 from millrace.streaming import windows
 
@@ -205,6 +206,33 @@ def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.cosine_top_k(items, items.where("id % 100 = 0"), 10).select("query", "id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
+_NEAR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT e, min(vec_id) AS representative FROM v GROUP BY e), m AS (SELECT v.vec_id, r.representative FROM v JOIN r ON r.e = v.e),
+    p AS (SELECT x.representative AS a, y.representative AS b, round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)), 6) AS similarity FROM r x JOIN r y ON x.representative < y.representative
+        WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.4)"""
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> nearest.SimilarPairs:
+    return nearest.SimilarPairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.4)
+
+
+@query(f"WITH {_NEAR} SELECT a, b, similarity FROM p")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different vectors with a cosine of 0.4 or more."""
+    return _similar(spark, sf_dir).pairs()
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, links AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT a AS node, a AS root FROM links UNION SELECT links.b, c.root FROM c JOIN links ON links.a = c.node)
+    SELECT m.vec_id, m.representative, (SELECT count(*) FROM links WHERE links.a = m.representative) AS links, coalesce((SELECT min(c.root) FROM c WHERE c.node = m.representative), m.representative) AS cluster FROM m""")
+def similar_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the class of those equal to it, the class's links, and the cluster that links lead to."""
+    near = _similar(spark, sf_dir)
+    links = stored(near.pairs())
+    counts = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    roots = components.connected_components(links).withColumnsRenamed({"node": "representative", "root": "cluster"})
+    joined = near.members().join(counts, "representative", "left").join(roots, "representative", "left")
+    return joined.select(F.col("id").alias("vec_id"), "representative", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("cluster", "representative").alias("cluster"))
+
+
 @query("""WITH p AS (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY ALL) SELECT label, pos, round(m, 6) AS mean FROM p""")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each coordinate by label."""
