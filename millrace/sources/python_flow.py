@@ -3,37 +3,135 @@
 The walk over one file's syntax tree is a small helper in an Arrow UDF; what
 is asked of the relations is asked by joins and fixpoints
 (``operators/program.py``, ``operators/dataflow.py``). A block is a run of
-statements without a branch; block 0 is the entry, block 1 the exit. Files that
-do not parse give no rows.
+statements without a branch; block 0 is the entry, block 1 the exit; a finally
+part stands once for each way in which it is left. Exceptions are followed
+where the function itself catches them or has a finally part to run, and from
+``raise``; that a context manager may swallow one is not. What an inner
+function reads of the outer one counts as read where it is made. Files that do
+not parse give no rows.
 """
 
 from __future__ import annotations
 
 import ast
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import dataflow
+from millrace.lineage import stored
+from millrace.operators import dominance
+from millrace.operators.fixpoint import closure
 
 _BLOCK = {"func": pa.string(), "block": pa.int32(), "block_type": pa.string(), "start_line": pa.int32(), "end_line": pa.int32()}
 _EDGE = {"func": pa.string(), "src": pa.int32(), "dst": pa.int32(), "label": pa.string()}
 _NAME = {"func": pa.string(), "block": pa.int32(), "line": pa.int32(), "nth": pa.int32(), "variable": pa.string()}
-_PARTS = {"blocks": _BLOCK, "edges": _EDGE, "defs": _NAME, "uses": _NAME}
+_LINE = {"func": pa.string(), "block": pa.int32(), "line": pa.int32(), "nth": pa.int32()}
+_PARTS = {"blocks": _BLOCK, "edges": _EDGE, "defs": _NAME, "uses": _NAME, "lines": _LINE}
 _SQL = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
 
 
+_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def _parameters(args: ast.arguments) -> list[ast.arg]:
+    return [*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))]
+
+
+def _names(node: ast.AST | None, bound: frozenset[str] = frozenset()):
+    """(is a definition, name, line) in the order of evaluation; names that lambdas and comprehensions bind stay theirs."""
+    if node is None:
+        return
+    each = lambda nodes, inside=bound: (x for n in nodes for x in _names(n, inside))
+    if isinstance(node, ast.Name):
+        if node.id not in bound:
+            yield isinstance(node.ctx, ast.Store), node.id, node.lineno
+    elif isinstance(node, ast.Assign):
+        yield from each([node.value, *node.targets])
+    elif isinstance(node, ast.AnnAssign):
+        yield from each([node.value, *([node.target] if node.value or not isinstance(node.target, ast.Name) else [])])
+    elif isinstance(node, ast.AugAssign):
+        if isinstance(node.target, ast.Name):
+            yield False, node.target.id, node.lineno
+        yield from each([node.value, node.target])
+    elif isinstance(node, ast.NamedExpr):
+        yield from each([node.value])
+        yield True, node.target.id, node.lineno
+    elif isinstance(node, ast.Lambda):
+        yield from each([*node.args.defaults, *node.args.kw_defaults])
+        yield from _names(node.body, bound | {a.arg for a in _parameters(node.args)})
+    elif isinstance(node, _COMPREHENSIONS):
+        inside = bound
+        for k, g in enumerate(node.generators):
+            yield from _names(g.iter, bound if k == 0 else inside)
+            inside = inside | {n.id for n in ast.walk(g.target) if isinstance(n, ast.Name)}
+            yield from each([g.target, *g.ifs], inside)
+        yield from each([node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt], inside)
+    elif isinstance(node, _FUNCTIONS):
+        yield from each([*node.decorator_list, *node.args.defaults, *node.args.kw_defaults])
+        own = {a.arg for a in _parameters(node.args)} | {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        # What the inner function reads of the outer one counts as read where it is made.
+        yield from ((False, name, node.lineno) for is_def, name, _ in each(node.body, bound | own) if not is_def)
+        yield True, node.name, node.lineno
+    elif isinstance(node, ast.ClassDef):
+        yield from each([*node.decorator_list, *node.bases, *(k.value for k in node.keywords)])
+        yield True, node.name, node.lineno
+    elif isinstance(node, (ast.Import, ast.ImportFrom)):
+        yield from ((True, n.asname or n.name.split(".")[0], node.lineno) for n in node.names if n.name != "*")
+    elif isinstance(node, (ast.MatchAs, ast.MatchStar)):
+        yield from each([getattr(node, "pattern", None)])
+        if node.name:
+            yield True, node.name, node.lineno
+    elif isinstance(node, ast.MatchMapping):
+        yield from each([*node.keys, *node.patterns])
+        if node.rest:
+            yield True, node.rest, node.lineno
+    else:
+        yield from each(ast.iter_child_nodes(node))
+
+
+def _always(test: ast.expr) -> bool:
+    return isinstance(test, ast.Constant) and bool(test.value)
+
+
+@dataclass
+class _Loop:
+    head: int
+    line: int
+    after: int | None = None
+
+
+@dataclass
+class _Handlers:
+    dispatch: int
+
+
+@dataclass
+class _Finally:
+    body: list[ast.stmt]
+    copies: dict = field(default_factory=dict)
+
+
 class _Walk:
-    """Blocks and edges of one function."""
+    """Blocks and edges of one function.
+
+    ``frames`` are the loops, handlers and finally parts around a statement,
+    the innermost last. A jump goes outward through them: to what it looks
+    for, or into a copy of a finally part that goes on from where it ends.
+    Where a handler or a finally part is near, every statement is a block of
+    its own, so that what was set before the one that fails, and no more,
+    reaches the handler.
+    """
 
     def __init__(self, name: str, node: ast.FunctionDef | ast.AsyncFunctionDef, out: dict):
-        self.name, self.out, self.count = name, out, 0
-        self.loops: list[tuple[int, int]] = []  # (where continue goes, where break goes)
+        self.name, self.out, self.rows, self.nth = name, out, [], 0
+        self.frames: list[_Loop | _Handlers | _Finally] = []
         entry, self.exit = self.block("entry", node.lineno), self.block("exit", node.end_lineno)
-        for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))):
-            self.row("defs", entry, node.lineno, a.arg)
+        for a in _parameters(node.args):
+            self.name_row("defs", entry, node.lineno, a.arg)
         first = self.block("body", node.body[0].lineno)
         self.edge(entry, first)
         end = self.body(node.body, first)
@@ -41,33 +139,28 @@ class _Walk:
             self.edge(end, self.exit)
 
     def block(self, kind: str, line: int) -> int:
-        self.out["blocks"].append({"func": self.name, "block": self.count, "block_type": kind, "start_line": line, "end_line": line})
-        self.count += 1
-        return self.count - 1
+        self.rows.append({"func": self.name, "block": len(self.rows), "block_type": kind, "start_line": line, "end_line": line})
+        self.out["blocks"].append(self.rows[-1])
+        return len(self.rows) - 1
 
     def edge(self, src: int, dst: int, label: str | None = None) -> None:
         self.out["edges"].append({"func": self.name, "src": src, "dst": dst, "label": label})
 
-    def row(self, part: str, block: int, line: int, variable: str) -> None:
-        self.out[part].append({"func": self.name, "block": block, "line": line, "nth": len(self.out["defs"]) + len(self.out["uses"]), "variable": variable})
-
-    def read(self, node: ast.AST | None, block: int) -> None:
-        """Uses, then definitions, of an expression or a simple statement."""
-        if node is None:
-            return
-        of_block = next(b for b in reversed(self.out["blocks"]) if b["func"] == self.name and b["block"] == block)
-        of_block["end_line"] = max(of_block["end_line"], node.end_lineno)
-        names = [n for n in ast.walk(node) if isinstance(n, ast.Name)]
-        for n in names:
-            if isinstance(n.ctx, ast.Load):
-                self.row("uses", block, n.lineno, n.id)
-        if isinstance(node, ast.AugAssign) and isinstance(node.target, ast.Name):
-            self.row("uses", block, node.lineno, node.target.id)
-        for n in names:
-            if isinstance(n.ctx, ast.Store):
-                self.row("defs", block, n.lineno, n.id)
-
-    def body(self, statements: list[ast.stmt], at: int) -> int | None:
+    def name_row(self, part: str, block: int, line: int, variable: str | None) -> None:
+        self.nth += 1
+        self.out[part].append({"func": self.name, "block": block, "line": line, "nth": self.nth} | ({"variable": variable} if variable else {}))
+
+    def read(self, block: int, line: int, *nodes: ast.AST | None, statement: bool = True) -> None:
+        """What ``nodes`` use and define, as of one statement in ``line``."""
+        if statement:
+            self.name_row("lines", block, line, None)
+        for node in nodes:
+            if node is not None:
+                self.rows[block]["end_line"] = max(self.rows[block]["end_line"], getattr(node, "end_lineno", line) if not isinstance(node, (*_FUNCTIONS, ast.ClassDef)) else line)
+            for is_def, name, at in _names(node):
+                self.name_row("defs" if is_def else "uses", block, at, name)
+
+    def body(self, statements: list[ast.stmt], at: int | None) -> int | None:
         """The block in which ``statements`` end; None if they always leave."""
         for s in statements:
             if at is None:
@@ -80,7 +173,7 @@ class _Walk:
         self.edge(src, inner, label)
         return self.body(statements, inner)
 
-    def join(self, line: int, *ends: tuple[int | None, str | None]) -> int | None:
+    def joined(self, line: int, *ends: tuple[int | None, str | None]) -> int | None:
         live = [(e, label) for e, label in ends if e is not None]
         if not live:
             return None
@@ -89,58 +182,130 @@ class _Walk:
             self.edge(e, after, label)
         return after
 
+    def jump(self, at: int, kind: str, label: str, depth: int | None = None) -> None:
+        """An edge from ``at`` to where ``kind`` (return, raise, break, continue) leads, seen from within the first ``depth`` frames."""
+        for k in reversed(range(len(self.frames) if depth is None else depth)):
+            frame = self.frames[k]
+            if isinstance(frame, _Finally):
+                if kind not in frame.copies:
+                    frame.copies[kind] = self.block("finally", frame.body[0].lineno)
+                    inside, self.frames = self.frames, self.frames[:k]
+                    end = self.body(frame.body, frame.copies[kind])
+                    if end is not None:
+                        self.jump(end, kind, kind)
+                    self.frames = inside
+                return self.edge(at, frame.copies[kind], label)
+            if isinstance(frame, _Handlers) and kind == "raise":
+                return self.edge(at, frame.dispatch, label)
+            if isinstance(frame, _Loop) and kind in ("break", "continue"):
+                return self.edge(at, frame.head if kind == "continue" else self.after(frame), label)
+        self.edge(at, self.exit, label)
+
+    def after(self, loop: _Loop) -> int:
+        if loop.after is None:
+            loop.after = self.block("body", loop.line)
+        return loop.after
+
+    def guarded(self) -> bool:
+        return any(not isinstance(f, _Loop) for f in self.frames)
+
+    def fails(self, at: int) -> int:
+        """``at``, which may leave by an exception if anything near catches one."""
+        if self.guarded():
+            self.jump(at, "raise", "exception")
+        return at
+
     def statement(self, s: ast.stmt, at: int) -> int | None:
+        if self.guarded():
+            own = self.block("body", s.lineno)
+            self.edge(at, own)
+            at = self.fails(own)
         if isinstance(s, ast.If):
-            self.read(s.test, at)
+            self.read(at, s.lineno, s.test)
             yes = self.branch(s.body, at, "true")
             no = (self.branch(s.orelse, at, "false"), None) if s.orelse else (at, "false")
-            return self.join(s.end_lineno, (yes, None), no)
+            return self.joined(s.end_lineno, (yes, None), no)
         if isinstance(s, (ast.While, ast.For, ast.AsyncFor)):
-            head, after = self.block("loop", s.lineno), self.block("body", s.end_lineno)
-            self.edge(at, head)
-            if isinstance(s, ast.While):
-                self.read(s.test, head)
-            else:
-                self.read(s.iter, head)
-                self.read(s.target, head)
-            self.loops.append((head, after))
-            end = self.branch(s.body, head, "true")
-            self.loops.pop()
-            if end is not None:
-                self.edge(end, head, "back")
-            if s.orelse:
-                end = self.branch(s.orelse, head, "false")
-                if end is not None:
-                    self.edge(end, after)
-            else:
-                self.edge(head, after, "false")
-            return after
+            return self.loop(s, at)
         if isinstance(s, (ast.Try, ast.TryStar)):
-            ends = [(self.branch([*s.body, *s.orelse], at, "try"), None)]
-            ends += [(self.branch(h.body, at, "except"), None) for h in s.handlers]
-            after = self.join(s.end_lineno, *ends)
-            return after if after is None or not s.finalbody else self.body(s.finalbody, after)
+            return self.protected(s, at)
         if isinstance(s, (ast.With, ast.AsyncWith)):
-            for item in s.items:
-                self.read(item.context_expr, at)
-                self.read(item.optional_vars, at)
+            self.read(at, s.lineno, *(n for item in s.items for n in (item.context_expr, item.optional_vars)))
             return self.body(s.body, at)
         if isinstance(s, ast.Match):
-            self.read(s.subject, at)
-            return self.join(s.end_lineno, *((self.branch(c.body, at, "case"), None) for c in s.cases), (at, "none"))
-        if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            self.row("defs", at, s.lineno, s.name)
-            return at
-        self.read(s, at)
-        if isinstance(s, (ast.Return, ast.Raise)):
-            self.edge(at, self.exit, "return" if isinstance(s, ast.Return) else "raise")
-            return None
-        if isinstance(s, (ast.Break, ast.Continue)) and self.loops:
-            head, after = self.loops[-1]
-            self.edge(at, after if isinstance(s, ast.Break) else head, "break" if isinstance(s, ast.Break) else "continue")
-            return None
+            return self.cases(s, at)
+        self.read(at, s.lineno, s)
+        for kind, leaving in (("return", ast.Return), ("raise", ast.Raise), ("break", ast.Break), ("continue", ast.Continue)):
+            if isinstance(s, leaving):
+                self.jump(at, kind, kind)
+                return None
         return at
 
+    def loop(self, s: ast.While | ast.For | ast.AsyncFor, at: int) -> int | None:
+        head, endless = self.fails(self.block("loop", s.lineno)), isinstance(s, ast.While) and _always(s.test)
+        self.edge(at, head)
+        self.read(head, s.lineno, *((s.test,) if isinstance(s, ast.While) else (s.iter, s.target)))
+        frame = _Loop(head, s.end_lineno)
+        self.frames.append(frame)
+        end = self.branch(s.body, head, "true")
+        self.frames.pop()
+        if end is not None:
+            self.edge(end, head, "back")
+        if s.orelse and not endless:
+            end = self.branch(s.orelse, head, "false")
+            if end is not None:
+                self.edge(end, self.after(frame))
+        elif not endless:
+            self.edge(head, self.after(frame), "false")
+        return frame.after
+
+    def protected(self, s: ast.Try | ast.TryStar, at: int) -> int | None:
+        self.read(at, s.lineno)
+        last = _Finally(s.finalbody)
+        if s.finalbody:
+            self.frames.append(last)
+        dispatch = None
+        if s.handlers:
+            dispatch = self.block("dispatch", s.handlers[0].lineno)
+            self.frames.append(_Handlers(dispatch))
+        inner = self.block("body", s.body[0].lineno)
+        self.edge(at, inner, "try")
+        end = self.body(s.body, self.fails(inner))
+        if s.handlers:
+            self.frames.pop()
+        ends = [self.branch(s.orelse, end, "else") if s.orelse and end is not None else end]
+        for h in s.handlers:
+            test = self.block("handler", h.lineno)
+            self.edge(dispatch, test, "except")
+            self.read(test, h.lineno, h.type)
+            caught = test
+            if h.name:
+                caught = self.block("body", h.lineno)
+                self.edge(test, caught, "caught")
+                self.name_row("defs", caught, h.lineno, h.name)
+            ends.append(self.branch(h.body, caught, "caught" if caught == test else "then"))
+            dispatch = test if h.type is not None else None
+        if dispatch is not None:  # nothing that catches all
+            self.jump(dispatch, "raise", "unhandled")
+        if s.finalbody:
+            self.frames.pop()
+        after = self.joined(s.finalbody[0].lineno if s.finalbody else s.end_lineno, *((e, None) for e in ends))
+        return self.body(s.finalbody, after)
+
+    def cases(self, s: ast.Match, at: int) -> int | None:
+        self.read(at, s.lineno, s.subject)
+        ends, before, label = [], at, "match"
+        for c in s.cases:
+            test = self.fails(self.block("case", c.pattern.lineno))
+            self.edge(before, test, label)
+            self.read(test, c.pattern.lineno, c.pattern, c.guard)
+            ends.append((self.branch(c.body, test, "case"), None))
+            before, label = test, "next"
+            bare = isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None
+            if bare and c.guard is None:
+                return self.joined(s.end_lineno, *ends)
+        return self.joined(s.end_lineno, *ends, (before, "none"))
+
 
 def _flow(text: str) -> dict:
     out: dict = {k: [] for k in _PARTS}
@@ -171,12 +336,12 @@ def _flows(texts: pa.Array) -> pa.Array:
 
 
 def flows(files: DataFrame) -> DataFrame:
-    """(path, blocks, edges, defs, uses) of (path, text). Write it before deriving several relations."""
+    """(path, blocks, edges, defs, uses, lines) of (path, text). Write it before deriving several relations."""
     return files.select("path", _flows("text").alias("f")).select("path", "f.*")
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:
-    """One of ``blocks``, ``edges``, ``defs``, ``uses`` as rows; ``func`` is path::qualified."""
+    """One of ``blocks``, ``edges``, ``defs``, ``uses``, ``lines`` (the statements' lines) as rows; ``func`` is path::qualified."""
     rows = parsed.select("path", F.inline(name))
     return rows.withColumn("func", F.concat_ws("::", "path", "func")).drop("path")
 
@@ -192,10 +357,20 @@ def data_flow(parsed: DataFrame) -> DataFrame:
     near = uses.alias("u").join(defs.alias("d"), ["func", "block", "variable"]).where("d.nth < u.nth").groupBy("func", "block", "variable", F.col("u.line").alias("use_line"), F.col("u.nth").alias("of")).agg(F.max(F.struct("d.nth", "d.line")).alias("best"))
     inside = near.select("func", "variable", F.col("best.line").alias("def_line"), "use_line")
     leaving = defs.groupBy("func", "block", "variable").agg(F.max(F.struct("nth", "line")).alias("last"))
-    fact = F.struct("variable", F.col("last.nth").alias("nth"), F.col("last.line").alias("line"))
-    gen = leaving.select("func", "block", fact.alias("fact"))
-    kill = gen.select("func", "fact").alias("g").join(leaving.select("func", "block", "variable").alias("l"), "func").where("g.fact.variable = l.variable").select("func", F.col("l.block").alias("block"), F.col("g.fact").alias("fact"))
-    reaching = dataflow.may_forward(edges.select("func", "src", "dst").distinct(), gen, kill)
+    setting = stored(leaving.select("func", "block", "variable", F.col("last.nth").alias("by"), F.col("last.line").alias("def_line")))
+    steps = stored(edges.select("func", F.col("src").alias("block"), "dst").distinct())
+    onward = lambda rows: rows.join(steps, ["func", "block"]).select("func", F.col("dst").alias("block"), "variable", "by", "def_line")
+    # A block that sets the variable lets no other setting of it through.
+    reaching = closure(onward(setting), lambda new: onward(new.join(setting.select("func", "block", "variable"), ["func", "block", "variable"], "left_anti")))
     first = uses.join(near.select("func", "block", "variable", F.col("of").alias("nth")), ["func", "block", "variable", "nth"], "left_anti")
-    from_before = first.join(reaching.select("func", "block", F.col("fact.variable").alias("variable"), F.col("fact.line").alias("def_line")), ["func", "block", "variable"]).select("func", "variable", "def_line", F.col("line").alias("use_line"))
+    from_before = first.join(reaching, ["func", "block", "variable"]).select("func", "variable", "def_line", F.col("line").alias("use_line"))
     return inside.unionByName(from_before).distinct()
+
+
+def control_flow_dependence(parsed: DataFrame) -> DataFrame:
+    """(func, src, dst, label): lines that run or not as the last line of a branching block decides, with the branch."""
+    edges, lines = relation(parsed, "edges"), relation(parsed, "lines")
+    exits = relation(parsed, "blocks").where("block_type = 'exit'").select("func", "block")
+    found = dominance.control_dependence(edges, exits)
+    deciding = lines.groupBy("func", F.col("block").alias("src")).agg(F.max_by("line", "nth").alias("from"))
+    return found.join(deciding, ["func", "src"]).join(lines.select("func", F.col("block").alias("dst"), "line"), ["func", "dst"]).select("func", F.col("from").alias("src"), F.col("line").alias("dst"), "label").distinct()
