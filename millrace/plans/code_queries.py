@@ -1,106 +1,28 @@
-"""Queries over a source tree: a small fixed one, whose rows are known.
+"""Queries over a source tree that is written from the tables, through the Python front end.
 
-Each query goes the way a user's tree would go: files, parsed relations, joins.
-The SQL twins state the rows that the sample must give.
+Each customer is a module, each order a function of it (a method where the
+customer's number is even), each line of the order a branch ('R'), a loop
+('A') or a call ('N'). The front end parses the texts; the SQL twins never see
+a text: they say from the tables what the language's rules make of such code.
+Modules of some customers do not parse.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
 from millrace.operators import code_metrics, findings, graph, program
+from millrace.plans.program_queries import _PROGRAMS, Programs
 from millrace.sources import python_code, python_flow
+from millrace.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
-SAMPLE = {
-    "shop/cart.py": '''"""A cart."""
-import os
-from shop.prices import price_of as price
-
-
-class Cart:
-    """Things to buy."""
-
-    def __init__(self, owner):
-        self.items = []
-        self.owner = owner
-
-    def add(self, item, n):
-        if n > 0 and item:
-            self.items.append((item, n))
-
-    def total(self, limit):
-        out = 0
-        for item, n in self.items:
-            cost = price(item) * n
-            if cost > limit:
-                break
-            out += cost
-        return out
-
-
-def export(cart, path, unused):
-    name = "cart-" + cart.owner
-    os.system("cp " + path + name)  # nosec PY-SYSTEM
-    os.system("sync")
-
-
-def main():
-    cart = Cart("a")
-    cart.add("pen", 2)
-    print(cart.total(9))
-''',
-    "shop/prices.py": '''import hashlib
-import pickle
-
-password = "hunter22222"
-
-
-def price_of(item):
-    """What an item costs."""
-    key = hashlib.md5(item).hexdigest()
-    return lookup(key)
-
-
-def lookup(key):
-    try:
-        table = pickle.loads(open("t").read())
-    except OSError:
-        return 0
-    return table.get(key, 1)
-
-
-def stale(x):
-    y = 1
-    while x:
-        x = x - 1
-    y = 2
-    return helper(x)
-
-
-def helper(x):
-    return stale(x)
-''',
-    "tests/test_cart.py": '''from shop.cart import Cart
-
-
-def test_total():
-    cart = Cart("b")
-    assert cart.total(1) == 0
-
-
-def test_nothing():
-    Cart("c")
-''',
-    "broken.py": "def (:\n",
-}
-
 
 def query(sql: str):
-    """Register a query beside the rows that the sample must give, as SQL."""
+    """Register a query beside its SQL."""
 
     def keep(f):
         QUERIES[f.__name__], SQL[f.__name__] = f, sql
@@ -109,337 +31,219 @@ def query(sql: str):
     return keep
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SAMPLE.items()), "path string, text string")
-
-
-def _parsed(spark: SparkSession) -> DataFrame:
-    return stored(python_code.modules(_files(spark)))
-
-
-def _flows(spark: SparkSession) -> DataFrame:
-    return stored(python_flow.flows(_files(spark)))
-
-
-def _functions(spark: SparkSession) -> DataFrame:
-    return python_code.relation(_parsed(spark), "functions")
-
-
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'Cart.__init__', 'Cart', 2, 9, 11, 1, 0, 0, 0),
-    ('shop/cart.py', 'Cart.add', 'Cart', 3, 13, 15, 3, 2, 1, 0),
-    ('shop/cart.py', 'Cart.total', 'Cart', 2, 17, 24, 3, 3, 2, 1),
-    ('shop/cart.py', 'export', NULL, 3, 27, 30, 1, 0, 0, 0),
-    ('shop/cart.py', 'main', NULL, 0, 33, 36, 1, 0, 0, 0),
-    ('shop/prices.py', 'helper', NULL, 1, 29, 30, 1, 0, 0, 1),
-    ('shop/prices.py', 'lookup', NULL, 1, 13, 18, 2, 1, 1, 2),
-    ('shop/prices.py', 'price_of', NULL, 1, 7, 10, 1, 0, 0, 1),
-    ('shop/prices.py', 'stale', NULL, 1, 21, 26, 2, 1, 1, 1),
-    ('tests/test_cart.py', 'test_nothing', NULL, 0, 9, 10, 1, 0, 0, 0),
-    ('tests/test_cart.py', 'test_total', NULL, 0, 4, 6, 2, 0, 0, 0)) t(file, qualified, owner, n_params, start_line, end_line, cyclomatic, cognitive, nesting, returns)""")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): the modules."""
+    ranked = Programs(spark, sf_dir).blocks.withColumn("i", F.row_number().over(Window.partitionBy("func").orderBy("block")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("func"), F.col("o_custkey").alias("cust"), (F.col("o_orderstatus") == "P").alias("is_test"), F.col("o_orderpriority").startswith("1").alias("doc"))
+    of = Window.partitionBy("cust").orderBy("func")
+    named = orders.join(ranked.select("func").distinct(), "func").withColumn("name", F.concat(F.when(F.col("is_test"), "test_f").otherwise("f"), "func"))
+    places = stored(named.withColumns({"r": F.row_number().over(of) - 1, "next": F.lead("name").over(of)}).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").alias("nation")), "cust"))
+    following = places.where("r = 0").select((F.col("cust") - 1).alias("cust"), F.concat(F.lit("from n"), "nation", F.lit(".m"), "cust", F.lit(" import "), "name", F.lit(" as imported")).alias("import"))
+    functions = places.join(following, "cust", "left").withColumn("callee", F.when((F.col("r") % 4 < 3) & F.col("next").isNotNull(), F.col("next")).when(F.col("next").isNull() & F.col("import").isNotNull(), "imported").otherwise("len"))
+    lines = ranked.join(functions.select("func", "is_test", "callee"), "func")
+    test, use, set_ = F.col("flag"), F.col("use"), F.col("def")
+    first = F.when(test == "R", F.concat(F.lit("if "), use, F.lit(":"))).when(test == "A", F.concat(F.lit("while "), use, F.lit(":"))).otherwise(F.concat(set_, F.lit(" = "), "callee", F.lit("("), use, F.lit(")")))
+    shell = F.concat(F.lit('os.system("ls")'), F.when(F.col("i") % 2 == 0, "  # nosec").otherwise(""))
+    second = F.when(test == "R", F.concat(F.lit("    "), set_, F.lit(" = "), use, F.lit(" + "), F.col("value"))).when(test == "A", F.concat(F.lit("    "), set_, F.lit(" = "), use, F.lit(" - 1")))
+    second = second.when((F.col("value") == 2) & F.col("is_test"), F.concat(F.lit("assert "), use)).when(F.col("value") == 0, shell).otherwise("pass")
+    bodies = lines.groupBy("func").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", first.alias("a"), second.alias("b")))), lambda s: F.array(s["a"], s["b"]))).alias("body"))
+    method = F.col("cust") % 2 == 0
+    head = F.concat(F.lit("def "), "name", F.when(method, "(self, a, b):").otherwise("(a, b):"))
+    inner = F.concat(F.array(F.when(F.col("doc"), '"""An order."""').otherwise("pass"), F.lit("v0 = v1 = v2 = v3 = a")), "body", F.array(F.lit("return v0")))
+    code = F.concat(F.array(head), F.transform(inner, lambda x: F.concat(F.lit("    "), x)))
+    code = F.concat(F.when(method, F.transform(code, lambda x: F.concat(F.lit("    "), x))).otherwise(code), F.array(F.lit("")))
+    written = functions.join(bodies, "func").select("cust", "nation", "func", F.coalesce("import", F.lit("import hashlib")).alias("import"), code.alias("code"))
+    modules = written.groupBy("cust", "nation", "import").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("func", "code"))), lambda s: s["code"])).alias("code"))
+    top = F.concat(F.array(F.lit("import os"), F.col("import"), F.lit("")), F.when(method, F.array(F.concat(F.lit("class C"), "cust", F.lit(":")))).otherwise(F.array().cast("array<string>")))
+    broken = F.when(F.col("cust") % 50 == 7, F.array(F.lit("def (:"))).otherwise(F.array().cast("array<string>"))
+    return modules.select(F.concat(F.lit("n"), "nation", F.lit("/m"), "cust", F.lit(".py")).alias("path"), F.array_join(F.concat(top, "code", broken), "\n").alias("text"))
+
+
+_TREE = f"""{_PROGRAMS},
+    named AS (SELECT f.func, o_custkey AS cust, o_orderstatus = 'P' AS is_test, o_orderpriority LIKE '1%' AS doc, f.k, CASE WHEN o_orderstatus = 'P' THEN 'test_f' ELSE 'f' END || f.func AS name, c_nationkey AS nation
+        FROM (SELECT func, count(*) AS k FROM b GROUP BY func) f JOIN orders ON o_orderkey = f.func JOIN customer ON c_custkey = o_custkey),
+    laid AS (SELECT *, row_number() OVER w - 1 AS r, lead(name) OVER w AS next, 4 + CASE WHEN cust % 2 = 0 THEN 1 ELSE 0 END + coalesce(sum(2 * k + 5) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line,
+        'n' || nation || '/m' || cust || '.py' AS file, CASE WHEN cust % 2 = 0 THEN 'C' || cust || '.' ELSE '' END || name AS qualified FROM named WINDOW w AS (PARTITION BY cust ORDER BY func)),
+    every AS (SELECT l.*, l.line + 2 * l.k + 3 AS last_line, y.name AS imports, y.nation AS from_nation, y.cust AS from_cust, l.file || '::' || l.qualified AS node,
+        CASE WHEN l.r % 4 < 3 AND l.next IS NOT NULL THEN l.next WHEN l.next IS NULL AND y.name IS NOT NULL THEN y.name END AS callee FROM laid l LEFT JOIN laid y ON y.cust = l.cust + 1 AND y.r = 0),
+    fn AS (SELECT * FROM every WHERE cust % 50 <> 7),
+    item AS (SELECT b.*, row_number() OVER (PARTITION BY func ORDER BY block) AS i FROM b),
+    it AS (SELECT item.*, fn.node, fn.file, fn.is_test, fn.callee, fn.line + 1 + 2 * i AS ln FROM item JOIN fn USING (func)),
+    size AS (SELECT fn.func, count(*) FILTER (flag IN ('R', 'A')) AS branches, count(*) FILTER (flag NOT IN ('R', 'A') AND value = 2 AND it.is_test) AS asserts FROM fn JOIN it USING (func) GROUP BY fn.func),
+    calls AS (SELECT DISTINCT it.node AS src, t.node AS dst, it.ln AS line, it.file, t.file AS to_file FROM it JOIN fn t ON t.name = it.callee WHERE it.flag NOT IN ('R', 'A'))"""
+# Lines as nodes: 0 the first, 1 the common setting, then two lines an item, and the return.
+_FLOW = """step AS (SELECT func, line AS src, line + 2 AS dst FROM fn UNION ALL SELECT func, line + 2, line + 3 FROM fn UNION ALL SELECT func, ln, ln + 1 FROM it UNION ALL SELECT func, ln + 1, ln + 2 FROM it WHERE flag <> 'A'
+        UNION ALL SELECT func, ln + 1, ln FROM it WHERE flag = 'A' UNION ALL SELECT func, ln, ln + 2 FROM it WHERE flag IN ('R', 'A')),
+    sets AS (SELECT func, line AS ln, unnest(CASE WHEN cust % 2 = 0 THEN ['self', 'a', 'b'] ELSE ['a', 'b'] END) AS variable FROM fn UNION ALL SELECT func, line + 2, unnest(['v0', 'v1', 'v2', 'v3']) FROM fn
+        UNION ALL SELECT func, CASE WHEN flag IN ('R', 'A') THEN ln + 1 ELSE ln END, def FROM it),
+    uses AS (SELECT func, line + 2 AS ln, 'a' AS variable FROM fn UNION ALL SELECT func, last_line, 'v0' FROM fn UNION ALL SELECT func, ln, use FROM it
+        UNION ALL SELECT func, ln + 1, use FROM it WHERE flag IN ('R', 'A') OR value = 2 AND is_test),
+    reaching AS (SELECT s.func, s.variable, s.ln AS def_line, step.dst AS ln FROM sets s JOIN step ON step.func = s.func AND step.src = s.ln
+        UNION SELECT r.func, r.variable, r.def_line, step.dst FROM reaching r JOIN step ON step.func = r.func AND step.src = r.ln WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.func = r.func AND s.ln = r.ln AND s.variable = r.variable)),
+    dfg AS (SELECT DISTINCT r.func, r.variable, r.def_line, r.ln AS use_line FROM reaching r JOIN uses u ON u.func = r.func AND u.ln = r.ln AND u.variable = r.variable)"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(python_code.modules(source_tree(spark, sf_dir)))
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(python_flow.flows(source_tree(spark, sf_dir)))
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.relation(_parsed(spark, sf_dir), "functions")
+
+
+@query(f"""WITH {_TREE} SELECT file, qualified, CASE WHEN cust % 2 = 0 THEN 'C' || cust END AS owner, CASE WHEN cust % 2 = 0 THEN 3 ELSE 2 END AS n_params, line AS start_line, last_line AS end_line,
+    1 + branches + asserts AS cyclomatic, branches AS cognitive, CASE WHEN branches > 0 THEN 1 ELSE 0 END AS nesting, 1 AS returns FROM fn JOIN size USING (func)""")
 def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with their places and measures."""
-    return _functions(spark).select("file", "qualified", "owner", F.size("params").alias("n_params"), "start_line", "end_line", "cyclomatic", "cognitive", "nesting", "returns")
+    return _functions(spark, sf_dir).select("file", "qualified", "owner", F.size("params").alias("n_params"), "start_line", "end_line", "cyclomatic", "cognitive", "nesting", "returns")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'os', NULL, 'os', 0, 2),
-    ('shop/cart.py', 'shop.prices', 'price_of', 'price', 0, 3),
-    ('shop/prices.py', 'hashlib', NULL, 'hashlib', 0, 1),
-    ('shop/prices.py', 'pickle', NULL, 'pickle', 0, 2),
-    ('tests/test_cart.py', 'shop.cart', 'Cart', 'Cart', 0, 1)) t(file, module, name, alias, level, line)""")
+@query(f"""WITH {_TREE} SELECT DISTINCT file, 'os' AS module, NULL AS name, 'os' AS alias, 0 AS level, 1 AS line FROM fn
+    UNION ALL SELECT file, coalesce('n' || from_nation || '.m' || from_cust, 'hashlib'), imports, CASE WHEN imports IS NULL THEN 'hashlib' ELSE 'imported' END, 0, 2 FROM fn WHERE r = 0""")
 def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each file imports."""
-    return python_code.relation(_parsed(spark), "imports")
+    return python_code.relation(_parsed(spark, sf_dir), "imports")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'tests/test_cart.py', 'Cart'),
-    ('shop/prices.py', 'shop/cart.py', 'price_of')) t(file, importer, name)""")
+@query(f"WITH {_TREE} SELECT 'n' || from_nation || '/m' || from_cust || '.py' AS file, file AS importer, imports AS name FROM fn WHERE r = 0 AND imports IS NOT NULL")
 def code_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files of the tree import which: imported modules joined with the files that hold them."""
-    parsed = _parsed(spark)
+    parsed = _parsed(spark, sf_dir)
     held = parsed.select(F.col("path").alias("file"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("module"))
     return python_code.relation(parsed, "imports").withColumnRenamed("file", "importer").join(held, "module").select("file", "importer", "name")
 
 
-@query("""SELECT * FROM (VALUES
-    ('broken.py')) t(path)""")
+@query(f"WITH {_TREE} SELECT DISTINCT file AS path FROM every WHERE cust % 50 = 7")
 def code_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that do not parse."""
-    return _parsed(spark).where("error is not null").select("path")
+    return _parsed(spark, sf_dir).where("error is not null").select("path")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.total', 'shop/prices.py::price_of', 20),
-    ('shop/cart.py::main', 'shop/cart.py::Cart.add', 35),
-    ('shop/cart.py::main', 'shop/cart.py::Cart.total', 36),
-    ('shop/prices.py::helper', 'shop/prices.py::stale', 30),
-    ('shop/prices.py::price_of', 'shop/prices.py::lookup', 10),
-    ('shop/prices.py::stale', 'shop/prices.py::helper', 26),
-    ('tests/test_cart.py::test_total', 'shop/cart.py::Cart.total', 6)) t(src, dst, line)""")
+@query(f"WITH {_TREE} SELECT src, dst, line FROM calls")
 def code_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved calls."""
-    return python_code.call_edges(_parsed(spark))
+    return python_code.call_edges(_parsed(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::export', 'never_called'),
-    ('shop/prices.py::helper', 'only_by_dead'),
-    ('shop/prices.py::stale', 'only_by_dead')) t(node, reason)""")
+@query(f"""WITH RECURSIVE {_TREE}, live AS (SELECT node FROM fn WHERE is_test UNION SELECT dst FROM live JOIN calls ON src = node)
+    SELECT node, CASE WHEN node IN (SELECT dst FROM calls) THEN 'only_by_dead' ELSE 'never_called' END AS reason FROM fn WHERE node NOT IN (SELECT node FROM live)""")
 def code_dead_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions that no entry point reaches, with the reason."""
-    parsed = _parsed(spark)
-    return python_code.dead_functions(parsed, python_code.call_edges(parsed))
+    """Functions that no test reaches, with the reason."""
+    parsed = _parsed(spark, sf_dir)
+    return python_code.dead_functions(parsed, stored(python_code.call_edges(parsed)))
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.total', 2),
-    ('shop/cart.py::main', 3),
-    ('shop/prices.py::lookup', 0),
-    ('shop/prices.py::price_of', 1),
-    ('tests/test_cart.py::test_total', 3)) t(node, distance)""")
+@query(f"""WITH RECURSIVE {_TREE}, up AS (SELECT DISTINCT dst AS node, 0 AS d FROM calls JOIN fn ON fn.node = dst WHERE fn.func % 10 = 3 UNION SELECT src, d + 1 FROM up JOIN calls ON dst = node WHERE d < 60)
+    SELECT node, min(d) AS distance FROM up GROUP BY node""")
 def code_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What calls the lookup, directly or not, by distance."""
-    edges = python_code.call_edges(_parsed(spark)).select("src", "dst")
-    return graph.reach(edges, edges.where("dst = 'shop/prices.py::lookup'").select(F.col("dst").alias("node")).distinct(), backward=True)
-
-
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.__init__', 0, 'entry', 9, 9),
-    ('shop/cart.py::Cart.__init__', 1, 'exit', 11, 11),
-    ('shop/cart.py::Cart.__init__', 2, 'body', 10, 11),
-    ('shop/cart.py::Cart.add', 0, 'entry', 13, 13),
-    ('shop/cart.py::Cart.add', 1, 'exit', 15, 15),
-    ('shop/cart.py::Cart.add', 2, 'body', 14, 14),
-    ('shop/cart.py::Cart.add', 3, 'body', 15, 15),
-    ('shop/cart.py::Cart.add', 4, 'body', 15, 15),
-    ('shop/cart.py::Cart.total', 0, 'entry', 17, 17),
-    ('shop/cart.py::Cart.total', 1, 'exit', 24, 24),
-    ('shop/cart.py::Cart.total', 2, 'body', 18, 18),
-    ('shop/cart.py::Cart.total', 3, 'loop', 19, 19),
-    ('shop/cart.py::Cart.total', 4, 'body', 23, 24),
-    ('shop/cart.py::Cart.total', 5, 'body', 20, 21),
-    ('shop/cart.py::Cart.total', 6, 'body', 22, 22),
-    ('shop/cart.py::Cart.total', 7, 'body', 22, 23),
-    ('shop/cart.py::export', 0, 'entry', 27, 27),
-    ('shop/cart.py::export', 1, 'exit', 30, 30),
-    ('shop/cart.py::export', 2, 'body', 28, 30),
-    ('shop/cart.py::main', 0, 'entry', 33, 33),
-    ('shop/cart.py::main', 1, 'exit', 36, 36),
-    ('shop/cart.py::main', 2, 'body', 34, 36),
-    ('shop/prices.py::helper', 0, 'entry', 29, 29),
-    ('shop/prices.py::helper', 1, 'exit', 30, 30),
-    ('shop/prices.py::helper', 2, 'body', 30, 30),
-    ('shop/prices.py::lookup', 0, 'entry', 13, 13),
-    ('shop/prices.py::lookup', 1, 'exit', 18, 18),
-    ('shop/prices.py::lookup', 2, 'body', 14, 14),
-    ('shop/prices.py::lookup', 3, 'body', 15, 15),
-    ('shop/prices.py::lookup', 4, 'body', 17, 17),
-    ('shop/prices.py::lookup', 5, 'body', 17, 18),
-    ('shop/prices.py::price_of', 0, 'entry', 7, 7),
-    ('shop/prices.py::price_of', 1, 'exit', 10, 10),
-    ('shop/prices.py::price_of', 2, 'body', 8, 10),
-    ('shop/prices.py::stale', 0, 'entry', 21, 21),
-    ('shop/prices.py::stale', 1, 'exit', 26, 26),
-    ('shop/prices.py::stale', 2, 'body', 22, 22),
-    ('shop/prices.py::stale', 3, 'loop', 23, 23),
-    ('shop/prices.py::stale', 4, 'body', 24, 26),
-    ('shop/prices.py::stale', 5, 'body', 24, 24),
-    ('tests/test_cart.py::test_nothing', 0, 'entry', 9, 9),
-    ('tests/test_cart.py::test_nothing', 1, 'exit', 10, 10),
-    ('tests/test_cart.py::test_nothing', 2, 'body', 10, 10),
-    ('tests/test_cart.py::test_total', 0, 'entry', 4, 4),
-    ('tests/test_cart.py::test_total', 1, 'exit', 6, 6),
-    ('tests/test_cart.py::test_total', 2, 'body', 5, 6)) t(func, block, block_type, start_line, end_line)""")
+    """What calls the functions of orders whose number ends in 3, directly or not, by distance."""
+    edges = stored(python_code.call_edges(_parsed(spark, sf_dir)).select("src", "dst").distinct())
+    return graph.reach(edges, edges.where("dst rlike '[.:]?(test_)?f[0-9]*3$'").select(F.col("dst").alias("node")).distinct(), backward=True)
+
+
+# A branch makes two blocks, a loop three; what follows goes on in the last of them.
+_BLOCKS = """made AS (SELECT node, func, i, flag, 3 + coalesce(sum(CASE flag WHEN 'R' THEN 2 WHEN 'A' THEN 3 ELSE 0 END) OVER (PARTITION BY func ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM it),
+    total AS (SELECT node, func, max(c + CASE flag WHEN 'R' THEN 2 WHEN 'A' THEN 3 ELSE 0 END) AS c FROM made GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TREE}, {_BLOCKS} SELECT node AS func, 0 AS block, 'entry' AS block_type FROM total UNION ALL SELECT node, 1, 'exit' FROM total UNION ALL SELECT node, 2, 'body' FROM total
+    UNION ALL SELECT node, c, 'body' FROM made WHERE flag = 'R' UNION ALL SELECT node, c + 1, 'body' FROM made WHERE flag = 'R' UNION ALL SELECT node, c, 'loop' FROM made WHERE flag = 'A' UNION ALL SELECT node, c + 1, 'body' FROM made WHERE flag = 'A' UNION ALL SELECT node, c + 2, 'body' FROM made WHERE flag = 'A'""")
 def code_cfg_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic blocks."""
-    return python_flow.relation(_flows(spark), "blocks").select("func", "block", "block_type", "start_line", "end_line")
-
-
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.__init__', 0, 2, NULL),
-    ('shop/cart.py::Cart.__init__', 2, 1, NULL),
-    ('shop/cart.py::Cart.add', 0, 2, NULL),
-    ('shop/cart.py::Cart.add', 2, 3, 'true'),
-    ('shop/cart.py::Cart.add', 2, 4, 'false'),
-    ('shop/cart.py::Cart.add', 3, 4, NULL),
-    ('shop/cart.py::Cart.add', 4, 1, NULL),
-    ('shop/cart.py::Cart.total', 0, 2, NULL),
-    ('shop/cart.py::Cart.total', 2, 3, NULL),
-    ('shop/cart.py::Cart.total', 3, 4, 'false'),
-    ('shop/cart.py::Cart.total', 3, 5, 'true'),
-    ('shop/cart.py::Cart.total', 4, 1, 'return'),
-    ('shop/cart.py::Cart.total', 5, 6, 'true'),
-    ('shop/cart.py::Cart.total', 5, 7, 'false'),
-    ('shop/cart.py::Cart.total', 6, 4, 'break'),
-    ('shop/cart.py::Cart.total', 7, 3, 'back'),
-    ('shop/cart.py::export', 0, 2, NULL),
-    ('shop/cart.py::export', 2, 1, NULL),
-    ('shop/cart.py::main', 0, 2, NULL),
-    ('shop/cart.py::main', 2, 1, NULL),
-    ('shop/prices.py::helper', 0, 2, NULL),
-    ('shop/prices.py::helper', 2, 1, 'return'),
-    ('shop/prices.py::lookup', 0, 2, NULL),
-    ('shop/prices.py::lookup', 2, 3, 'try'),
-    ('shop/prices.py::lookup', 2, 4, 'except'),
-    ('shop/prices.py::lookup', 3, 5, NULL),
-    ('shop/prices.py::lookup', 4, 1, 'return'),
-    ('shop/prices.py::lookup', 5, 1, 'return'),
-    ('shop/prices.py::price_of', 0, 2, NULL),
-    ('shop/prices.py::price_of', 2, 1, 'return'),
-    ('shop/prices.py::stale', 0, 2, NULL),
-    ('shop/prices.py::stale', 2, 3, NULL),
-    ('shop/prices.py::stale', 3, 4, 'false'),
-    ('shop/prices.py::stale', 3, 5, 'true'),
-    ('shop/prices.py::stale', 4, 1, 'return'),
-    ('shop/prices.py::stale', 5, 3, 'back'),
-    ('tests/test_cart.py::test_nothing', 0, 2, NULL),
-    ('tests/test_cart.py::test_nothing', 2, 1, NULL),
-    ('tests/test_cart.py::test_total', 0, 2, NULL),
-    ('tests/test_cart.py::test_total', 2, 1, NULL)) t(func, src, dst, label)""")
+    return python_flow.relation(_flows(spark, sf_dir), "blocks").select("func", "block", "block_type")
+
+
+@query(f"""WITH {_TREE}, {_BLOCKS} SELECT node AS func, 0 AS src, 2 AS dst, NULL AS label FROM total UNION ALL SELECT node, c - 1, 1, 'return' FROM total
+    UNION ALL SELECT node, c - 1, c, 'true' FROM made WHERE flag = 'R' UNION ALL SELECT node, c - 1, c + 1, 'false' FROM made WHERE flag = 'R' UNION ALL SELECT node, c, c + 1, NULL FROM made WHERE flag = 'R'
+    UNION ALL SELECT node, c - 1, c, NULL FROM made WHERE flag = 'A' UNION ALL SELECT node, c, c + 1, 'true' FROM made WHERE flag = 'A' UNION ALL SELECT node, c + 1, c, 'back' FROM made WHERE flag = 'A' UNION ALL SELECT node, c, c + 2, 'false' FROM made WHERE flag = 'A'""")
 def code_cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control-flow edges."""
-    return python_flow.relation(_flows(spark), "edges").select("func", "src", "dst", "label")
-
-
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.__init__', 'owner', 9, 11),
-    ('shop/cart.py::Cart.__init__', 'self', 9, 10),
-    ('shop/cart.py::Cart.__init__', 'self', 9, 11),
-    ('shop/cart.py::Cart.add', 'item', 13, 14),
-    ('shop/cart.py::Cart.add', 'item', 13, 15),
-    ('shop/cart.py::Cart.add', 'n', 13, 14),
-    ('shop/cart.py::Cart.add', 'n', 13, 15),
-    ('shop/cart.py::Cart.add', 'self', 13, 15),
-    ('shop/cart.py::Cart.total', 'cost', 20, 21),
-    ('shop/cart.py::Cart.total', 'cost', 20, 23),
-    ('shop/cart.py::Cart.total', 'item', 19, 20),
-    ('shop/cart.py::Cart.total', 'limit', 17, 21),
-    ('shop/cart.py::Cart.total', 'n', 19, 20),
-    ('shop/cart.py::Cart.total', 'out', 18, 23),
-    ('shop/cart.py::Cart.total', 'out', 18, 24),
-    ('shop/cart.py::Cart.total', 'out', 23, 23),
-    ('shop/cart.py::Cart.total', 'out', 23, 24),
-    ('shop/cart.py::Cart.total', 'self', 17, 19),
-    ('shop/cart.py::export', 'cart', 27, 28),
-    ('shop/cart.py::export', 'name', 28, 29),
-    ('shop/cart.py::export', 'path', 27, 29),
-    ('shop/cart.py::main', 'cart', 34, 35),
-    ('shop/cart.py::main', 'cart', 34, 36),
-    ('shop/prices.py::helper', 'x', 29, 30),
-    ('shop/prices.py::lookup', 'key', 13, 18),
-    ('shop/prices.py::lookup', 'table', 15, 18),
-    ('shop/prices.py::price_of', 'item', 7, 9),
-    ('shop/prices.py::price_of', 'key', 9, 10),
-    ('shop/prices.py::stale', 'x', 21, 23),
-    ('shop/prices.py::stale', 'x', 21, 24),
-    ('shop/prices.py::stale', 'x', 21, 26),
-    ('shop/prices.py::stale', 'x', 24, 23),
-    ('shop/prices.py::stale', 'x', 24, 24),
-    ('shop/prices.py::stale', 'x', 24, 26),
-    ('tests/test_cart.py::test_total', 'cart', 5, 6)) t(func, variable, def_line, use_line)""")
+    return python_flow.relation(_flows(spark, sf_dir), "edges").select("func", "src", "dst", "label")
+
+
+@query(f"WITH RECURSIVE {_TREE}, {_FLOW} SELECT fn.node AS func, variable, def_line, use_line FROM dfg JOIN fn USING (func)")
 def code_dfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow edges: the line that sets a variable and a line that may use the value."""
-    return python_flow.data_flow(_flows(spark))
+    return python_flow.data_flow(_flows(spark, sf_dir))
+
+
+@query(f"""WITH {_TREE} SELECT node AS func, ln AS src, ln + 1 AS dst, 'true' AS label FROM it WHERE flag IN ('R', 'A') UNION ALL SELECT node, ln, ln, 'true' FROM it WHERE flag = 'A'""")
+def code_control_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that run or not as a branch or a loop decides, a loop's head itself among them."""
+    return python_flow.control_flow_dependence(_flows(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::export', 'unused', 27),
-    ('shop/prices.py::stale', 'y', 22),
-    ('shop/prices.py::stale', 'y', 25)) t(func, variable, line)""")
+@query(f"WITH RECURSIVE {_TREE}, {_FLOW} SELECT DISTINCT fn.node AS func, s.variable, s.ln AS line FROM sets s JOIN fn USING (func) WHERE NOT EXISTS (SELECT 1 FROM dfg WHERE dfg.func = s.func AND dfg.variable = s.variable AND dfg.def_line = s.ln)")
 def code_unused_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters and settings whose value no line uses."""
-    flows = _flows(spark)
+    flows = _flows(spark, sf_dir)
     used = python_flow.data_flow(flows).select("func", "variable", F.col("def_line").alias("line")).distinct()
     return python_flow.relation(flows, "defs").select("func", "variable", "line").distinct().join(used, ["func", "variable", "line"], "left_anti")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py::Cart.total', 17, 4),
-    ('shop/cart.py::Cart.total', 18, 1),
-    ('shop/cart.py::Cart.total', 19, 3),
-    ('shop/cart.py::Cart.total', 20, 2),
-    ('shop/cart.py::Cart.total', 23, 1),
-    ('shop/cart.py::Cart.total', 24, 0)) t(func, line, distance)""")
+@query(f"""WITH RECURSIVE {_TREE}, {_FLOW}, s AS (SELECT func, last_line AS line, 0 AS d FROM fn UNION SELECT dfg.func, dfg.def_line, d + 1 FROM s JOIN dfg ON dfg.func = s.func AND dfg.use_line = s.line WHERE d < 20)
+    SELECT fn.node AS func, s.line, min(d) AS distance FROM s JOIN fn USING (func) GROUP BY ALL""")
 def code_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last line of the total depends on."""
-    dfg = python_flow.data_flow(_flows(spark)).select("func", "variable", F.col("def_line").alias("from_line"), F.col("use_line").alias("to_line"))
-    criterion = dfg.where("func like '%Cart.total'").groupBy("func").agg(F.max("to_line").alias("line"))
+    """What the value that each function returns depends on."""
+    flows = _flows(spark, sf_dir)
+    dfg = stored(python_flow.data_flow(flows).select("func", "variable", F.col("def_line").alias("from_line"), F.col("use_line").alias("to_line")))
+    criterion = python_flow.relation(flows, "lines").groupBy("func").agg(F.max("line").alias("line"))
     return program.slices(dfg, criterion)
 
 
-@query("""SELECT * FROM (VALUES
-    ('PY-MD5', 'weak_crypto', 2, 327, 'shop/prices.py', 9, false),
-    ('PY-PICKLE', 'deserialization', 4, 502, 'shop/prices.py', 15, false),
-    ('PY-SYSTEM', 'command_injection', 4, 78, 'shop/cart.py', 29, true),
-    ('PY-SYSTEM', 'command_injection', 4, 78, 'shop/cart.py', 30, true),
-    ('TXT-SECRET', 'secrets', 4, 798, 'shop/prices.py', 4, false)) t(rule, category, severity, cwe, file, line, suppressed)""")
+@query(f"""WITH {_TREE} SELECT 'PY-SYSTEM' AS rule, 'command_injection' AS category, 4 AS severity, 78 AS cwe, file, ln + 1 AS line, i % 2 = 0 AS suppressed FROM it WHERE flag NOT IN ('R', 'A') AND value = 0""")
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the call and line rules, with what comments suppress."""
-    files = _files(spark)
-    found = findings.call_findings(python_code.relation(_parsed(spark), "calls")).unionByName(findings.line_findings(files))
+    files = stored(source_tree(spark, sf_dir))
+    found = findings.call_findings(python_code.relation(stored(python_code.modules(files)), "calls")).unionByName(findings.line_findings(files))
     return findings.suppressed(found, findings.markers(files)).select("rule", "category", "severity", "cwe", "file", "line", "suppressed")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'Cart.__init__', 3, 1, 'low', ''),
-    ('shop/cart.py', 'Cart.add', 3, 2, 'low', 'complex'),
-    ('shop/cart.py', 'Cart.total', 8, 1, 'low', 'long+complex'),
-    ('shop/cart.py', 'export', 4, 3, 'low', 'many_parameters'),
-    ('shop/cart.py', 'main', 4, 0, 'low', ''),
-    ('shop/prices.py', 'helper', 2, 1, 'low', ''),
-    ('shop/prices.py', 'lookup', 6, 1, 'low', ''),
-    ('shop/prices.py', 'price_of', 4, 1, 'low', ''),
-    ('shop/prices.py', 'stale', 6, 1, 'low', ''),
-    ('tests/test_cart.py', 'test_nothing', 2, 0, 'low', ''),
-    ('tests/test_cart.py', 'test_total', 3, 0, 'low', '')) t(file, qualified, length, n_params, risk, issues)""")
+@query(f"""WITH {_TREE} SELECT file, qualified, 2 * k + 4 AS length, 2 AS n_params, CASE WHEN 1 + branches + asserts <= 10 THEN 'low' ELSE 'moderate' END AS risk,
+    concat_ws('+', CASE WHEN 2 * k + 4 > 14 THEN 'long' END, CASE WHEN 1 + branches + asserts > 4 THEN 'complex' END) AS issues FROM fn JOIN size USING (func)""")
 def code_function_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, parameters, risk and exceeded thresholds of functions (low ones, for the sample)."""
-    some = (("long", "length", 6), ("complex", "cyclomatic", 2), ("many_parameters", "n_params", 2))
-    return code_metrics.function_report(_functions(spark), some).select("file", "qualified", "length", "n_params", "risk", F.array_join("issues", "+").alias("issues"))
+    """Length, parameters, risk and exceeded thresholds of functions."""
+    some = (("long", "length", 14), ("complex", "cyclomatic", 4), ("many_parameters", "n_params", 2))
+    return code_metrics.function_report(_functions(spark, sf_dir), some).select("file", "qualified", "length", "n_params", "risk", F.array_join("issues", "+").alias("issues"))
 
 
-@query("""SELECT * FROM (VALUES
-    ('broken.py', 2, 1, 0, 1, 0, NULL, NULL),
-    ('shop/cart.py', 37, 10, 0, 27, 5, 1.8::DOUBLE, 3),
-    ('shop/prices.py', 31, 10, 0, 21, 4, 1.5::DOUBLE, 2),
-    ('tests/test_cart.py', 11, 5, 0, 6, 2, 1.5::DOUBLE, 2)) t(path, physical, blank, comment, code, functions, mean_complexity, most_complex)""")
+@query(f"""WITH {_TREE}, f AS (SELECT file, cust, count(*) AS n, sum(2 * k + 5) AS code_lines FROM every GROUP BY ALL), m AS (SELECT file, round(avg(1 + branches + asserts), 4) AS mean, max(1 + branches + asserts) AS most FROM fn JOIN size USING (func) GROUP BY file)
+    SELECT f.file AS path, 3 + (cust % 2 = 0)::INT + code_lines + (cust % 50 = 7)::INT AS physical, 1 + n AS blank, 0 AS comment, 2 + (cust % 2 = 0)::INT + code_lines - n + (cust % 50 = 7)::INT AS code, CASE WHEN cust % 50 = 7 THEN 0 ELSE n END AS functions, m.mean AS mean_complexity, m.most AS most_complex
+    FROM f LEFT JOIN m ON m.file = f.file""")
 def code_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, functions and complexity of files."""
-    return code_metrics.file_report(_functions(spark), _files(spark)).select("path", "physical", "blank", "comment", "code", "functions", "mean_complexity", "most_complex")
+    files = stored(source_tree(spark, sf_dir))
+    functions = python_code.relation(stored(python_code.modules(files)), "functions")
+    return code_metrics.file_report(functions, files).select("path", "physical", "blank", "comment", "code", "functions", "mean_complexity", "most_complex")
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'Cart', 3, 7, 2.0::DOUBLE, false)) t(file, owner, methods, complexity, score, god)""")
+@query(f"""WITH {_TREE}, c AS (SELECT file, 'C' || cust AS owner, count(*) AS methods, sum(1 + branches + asserts)::BIGINT AS complexity FROM fn JOIN size USING (func) WHERE cust % 2 = 0 GROUP BY ALL),
+    s AS (SELECT *, greatest(0, methods - 8) * 2 + greatest(0, complexity - 40) / 5 AS score FROM c) SELECT file, owner, methods, complexity, score::DOUBLE AS score, score >= 10 AS god FROM s""")
 def code_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods, complexity and score of classes."""
-    return code_metrics.class_report(_functions(spark), many=2)
+    return code_metrics.class_report(_functions(spark, sf_dir), many=8)
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 'function', 0, 2),
-    ('shop/cart.py', 'method', 0, 3),
-    ('shop/prices.py', 'function', 1, 4),
-    ('tests/test_cart.py', 'function', 0, 2)) t(file, kind, documented, total)""")
+@query(f"WITH {_TREE} SELECT file, CASE WHEN cust % 2 = 0 THEN 'method' ELSE 'function' END AS kind, count(*) FILTER (doc) AS documented, count(*) AS total FROM fn GROUP BY ALL")
 def code_documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented functions and methods of files."""
-    return code_metrics.documentation(_functions(spark))
+    return code_metrics.documentation(_functions(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES
-    ('tests/test_cart.py', 'test_nothing', 0, 0, true),
-    ('tests/test_cart.py', 'test_total', 1, 0, false)) t(file, test, assertions, mocks, weak)""")
+@query(f"WITH {_TREE} SELECT file, qualified AS test, asserts AS assertions, 0 AS mocks, asserts = 0 AS weak FROM fn JOIN size USING (func) WHERE is_test")
 def code_weak_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assertions of tests."""
-    parsed = _parsed(spark)
-    return code_metrics.weak_tests(python_code.relation(parsed, "functions"), python_code.relation(parsed, "calls"), _files(spark))
+    files = stored(source_tree(spark, sf_dir))
+    parsed = stored(python_code.modules(files))
+    return code_metrics.weak_tests(python_code.relation(parsed, "functions"), python_code.relation(parsed, "calls"), files)
 
 
-@query("""SELECT * FROM (VALUES
-    ('shop/cart.py', 1, 1, 0.5::DOUBLE),
-    ('shop/prices.py', 0, 1, 0.0::DOUBLE),
-    ('tests/test_cart.py', 1, 0, 1.0::DOUBLE)) t(module, ce, ca, instability)""")
+@query(f"""WITH {_TREE}, d AS (SELECT DISTINCT file, to_file FROM calls WHERE file <> to_file), m AS (SELECT file FROM d UNION SELECT to_file FROM d),
+    c AS (SELECT m.file AS module, (SELECT count(*) FROM d WHERE d.file = m.file) AS ce, (SELECT count(*) FROM d WHERE d.to_file = m.file) AS ca FROM m) SELECT module, ce, ca, ce / (ce + ca) AS instability FROM c""")
 def code_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coupling of files through calls."""
-    return code_metrics.file_coupling(python_code.call_edges(_parsed(spark)))
+    return code_metrics.file_coupling(python_code.call_edges(_parsed(spark, sf_dir)))
