@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set, one in the warehouse, which a cluster shares too."""
+    """The session's checkpoint folder; where none is set, one in the warehouse, which a cluster shares too.
+
+    Off local mode a folder must be set: the default warehouse lies on each
+    machine's own disk.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_millrace")
+        chosen = spark.conf.get("spark.checkpoint.dir", None)
+        if chosen is None and not sc.master.startswith("local") and sc.getConf().get("spark.sql.warehouse.dir") is None:
+            raise ValueError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder that all machines share")
+        sc.setCheckpointDir(chosen or f"{spark.conf.get('spark.sql.warehouse.dir')}/_millrace")
     return sc.getCheckpointDir()
 
 
