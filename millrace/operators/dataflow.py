@@ -8,12 +8,11 @@ semi-naive. Run backward analyses on reversed edges.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.lineage import stored
+from millrace.lineage import kept, stored
+from millrace.operators.fixpoint import closure
 
 _KEY = ["func", "block", "fact"]
 
@@ -24,14 +23,9 @@ def flipped(edges: DataFrame) -> DataFrame:
 
 def _spread(start: DataFrame, edges: DataFrame, stop: DataFrame) -> DataFrame:
     """Facts at the entry of blocks: ``start`` (at exits) carried along edges, through blocks where ``stop`` has no such fact."""
-    at_exit, entries = [stored(start.select(*_KEY).distinct())], []
-    while True:
-        moved = at_exit[-1].join(edges, (at_exit[-1]["func"] == edges["func"]) & (F.col("block") == F.col("src"))).select(at_exit[-1]["func"], F.col("dst").alias("block"), "fact").distinct()
-        new = stored(moved.join(reduce(DataFrame.unionByName, entries), _KEY, "left_anti") if entries else moved)
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, [*entries, new])
-        entries.append(new)
-        at_exit.append(stored(new.join(stop, _KEY, "left_anti")))
+    steps, stop = kept(edges.select("func", F.col("src").alias("block"), "dst").distinct()), kept(stop)
+    onward = lambda rows: rows.join(steps, ["func", "block"]).select("func", F.col("dst").alias("block"), "fact")
+    return closure(onward(start.select(*_KEY).distinct()), lambda new: onward(new.join(stop, _KEY, "left_anti")))
 
 
 def may_forward(edges: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFrame:

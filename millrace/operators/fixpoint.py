@@ -20,15 +20,15 @@ BASE = 4
 
 
 class Found:
-    """Rows found so far; ``add`` takes new ones and gives those that are new as a written table."""
+    """Rows found so far, told apart by ``keys`` (all columns by default); ``add`` takes new ones and gives those that are new as a written table."""
 
-    def __init__(self, columns: list[str]):
-        self.columns, self.tables, self.newest, self.merged = columns, [], None, None
+    def __init__(self, columns: list[str], keys: list[str] | None = None):
+        self.columns, self.keys, self.tables, self.newest, self.merged = columns, keys or columns, [], None, None
 
     def add(self, rows: DataFrame) -> DataFrame:
         fresh = rows.select(*self.columns).distinct()
         for _, table in self.tables:
-            fresh = fresh.join(table, self.columns, "left_anti")
+            fresh = fresh.join(table, self.keys, "left_anti")
         self.newest = stored(fresh)
         if self.merged is not None:  # only now has no plan more use for it
             discard(self.merged)

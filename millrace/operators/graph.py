@@ -1,9 +1,10 @@
 """Reachability, layers and strong components over edge tables (src, dst).
 
 Loops are semi-naive: a round joins only the newest nodes with the edges and
-leaves out, by an anti join, what earlier rounds found. Every round's nodes are
-one written table, so lineage stays short and survives lost executors; the
-driver sees only whether a round was empty.
+leaves out, by an anti join, what earlier rounds found. What a round finds is
+written, so lineage stays short and survives lost executors, and the tables of
+rounds are merged (``fixpoint.py``); the driver sees only whether a round was
+empty.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.lineage import discard, kept, stored
+from millrace.operators.fixpoint import Found, closure
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -28,26 +30,24 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, back
     """(node, distance): what ``seeds`` (node) reach, themselves at 0, by the shortest way; at most ``max_depth`` steps."""
     edges = kept(edges)  # read in every round
     steps = reversed_edges(edges) if backward else edges
-    levels = [stored(seeds.select("node").distinct().withColumn("distance", F.lit(0)))]
-    while max_depth is None or len(levels) <= max_depth:
-        ahead = levels[-1].join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = stored(ahead.join(_all(levels), "node", "left_anti").withColumn("distance", F.lit(len(levels))))
-        if new.isEmpty():
-            break
-        levels.append(new)
-    return _all(levels)
+    found, rounds = Found(["node", "distance"], ["node"]), 0
+    newest = found.add(seeds.select("node").withColumn("distance", F.lit(0)))
+    while True:
+        found.keep()
+        if rounds == max_depth:
+            return found.all()
+        rounds += 1
+        ahead = newest.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+        newest = found.add(ahead.withColumn("distance", F.lit(rounds)))
+        if newest.isEmpty():
+            return found.all()
 
 
 def reach_pairs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """(origin, node): what each of ``origins`` (node) reaches in one step or more."""
     edges = kept(edges)
-    levels = [stored(origins.select(F.col("node").alias("origin")).distinct().join(edges, F.col("origin") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct())]
-    while True:
-        ahead = levels[-1].join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        new = stored(ahead.join(_all(levels), ["origin", "node"], "left_anti"))
-        if new.isEmpty():
-            return _all(levels)
-        levels.append(new)
+    ahead = lambda rows: rows.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"))
+    return closure(ahead(origins.select(F.col("node").alias("origin"), "node").distinct()), ahead)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
