@@ -50,6 +50,18 @@ def reach_pairs(edges: DataFrame, origins: DataFrame) -> DataFrame:
     return closure(ahead(origins.select(F.col("node").alias("origin"), "node").distinct()), ahead)
 
 
+def reach_from(edges: DataFrame, origins: DataFrame, max_depth: int) -> DataFrame:
+    """(origin, node, distance): what each of ``origins`` (node) reaches in at most so many steps, itself included, by the shortest way."""
+    edges = kept(edges)
+    found = Found(["origin", "node", "distance"], ["origin", "node"])
+    newest = found.add(origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance")))
+    for distance in range(1, max_depth + 1):
+        found.keep()
+        newest = found.add(newest.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), F.lit(distance).alias("distance")))
+    found.keep()
+    return found.all()
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
-from millrace.operators import code_metrics, findings, graph, program
+from millrace.operators import code_metrics, context, findings, graph, program
 from millrace.plans.program_queries import _PROGRAMS, Programs
 from millrace.sources import python_code, python_flow
 from millrace.sources.tables import table
@@ -247,3 +247,17 @@ def code_weak_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coupling of files through calls."""
     return code_metrics.file_coupling(python_code.call_edges(_parsed(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, ce AS (SELECT DISTINCT src, dst FROM calls), up AS (SELECT node AS entry, node, 0 AS d FROM fn WHERE func % 10 = 1 UNION ALL SELECT entry, dst, d + 1 FROM up JOIN ce ON src = node WHERE d < 3),
+    nearest AS (SELECT entry, node, min(d) AS d FROM up GROUP BY ALL),
+    summed AS (SELECT n.*, 2 * fn.k + 4 AS lines, sum(2 * fn.k + 4) OVER (PARTITION BY entry ORDER BY d, n.node) AS total FROM nearest n JOIN fn ON fn.node = n.node)
+    SELECT entry, coalesce(string_agg(node, ' ' ORDER BY d, node) FILTER (d > 0), '') AS functions, count(*) FILTER (d > 0) AS n, sum(lines)::BIGINT AS lines FROM summed WHERE total <= 40 OR d = 0 GROUP BY entry""")
+def code_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For functions of orders whose number ends in 1: what they call in up to three steps, within 40 lines, nearest first."""
+    files = stored(source_tree(spark, sf_dir))
+    parsed = stored(python_code.modules(files))
+    functions = stored(python_code.relation(parsed, "functions"))
+    entries = functions.where("name rlike '1$'").select(F.concat_ws("::", "file", "qualified").alias("node"))
+    found = context.contexts(python_code.call_edges(parsed), entries, context.sources(functions, files), depth=3, budget=40)
+    return found.select("entry", F.array_join("functions", " ").alias("functions"), "n", "lines")
