@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
-from millrace.operators import code_metrics, context, findings, graph, program
+from millrace.operators import code_metrics, context, exports, findings, graph, program
 from millrace.plans.program_queries import _PROGRAMS, Programs
 from millrace.sources import python_code, python_flow
 from millrace.sources.tables import table
@@ -261,3 +261,25 @@ def code_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = functions.where("name rlike '1$'").select(F.concat_ws("::", "file", "qualified").alias("node"))
     found = context.contexts(python_code.call_edges(parsed), entries, context.sources(functions, files), depth=3, budget=40)
     return found.select("entry", F.array_join("functions", " ").alias("functions"), "n", "lines")
+
+
+_MODULES = """d AS (SELECT o_custkey AS module, 'f' || (o_orderkey % 20) AS name, max(10 + o_orderkey % 7)::INT AS line FROM orders GROUP BY ALL), cs AS (SELECT DISTINCT module FROM d),
+    im AS (SELECT module, module + 1 AS source, '*' AS name, NULL::VARCHAR AS alias, 1 AS line FROM cs WHERE module % 3 = 0 UNION ALL SELECT module, module + 1, '*', NULL::VARCHAR, 14 FROM cs WHERE module % 3 = 1 UNION ALL SELECT module, module + 2, 'f3', 'g', 12 FROM cs WHERE module % 5 = 0),
+    held AS (SELECT module, name FROM d UNION SELECT module, alias FROM im WHERE alias IS NOT NULL UNION SELECT im.module, held.name FROM held JOIN im ON im.source = held.module AND im.name = '*'),
+    bound AS (SELECT module, name, NULL::BIGINT AS source, NULL::VARCHAR AS source_name, line FROM d UNION ALL SELECT module, alias, source, name, line FROM im WHERE alias IS NOT NULL UNION ALL SELECT im.module, h.name, im.source, h.name, im.line FROM im JOIN held h ON h.module = im.source WHERE im.name = '*'),
+    last AS (SELECT * FROM bound QUALIFY row_number() OVER (PARTITION BY module, name ORDER BY line DESC, source IS NULL DESC, source DESC) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_MODULES}, org AS (SELECT module, name, module AS origin, name AS origin_name FROM last WHERE source IS NULL UNION SELECT module, name, source, source_name FROM last WHERE source IS NOT NULL AND source NOT IN (SELECT module FROM cs)
+        UNION SELECT l.module, l.name, org.origin, org.origin_name FROM org JOIN last l ON l.source = org.module AND l.source_name = org.name)
+    SELECT module, name, origin, origin_name FROM org""")
+def name_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where names of modules are defined: customers as modules, their orders' numbers as names, star imports before or after, and a named one."""
+    orders = table(spark, sf_dir, "orders")
+    line = (F.col("o_orderkey") % 7 + 10).cast("int")
+    definitions = stored(orders.groupBy(F.col("o_custkey").alias("module"), F.concat(F.lit("f"), F.col("o_orderkey") % 20).alias("name")).agg(F.max(line).alias("line")))
+    modules = definitions.select("module").distinct()
+    none = F.lit(None).cast("string")
+    star = modules.where("module % 3 < 2").select("module", (F.col("module") + 1).alias("source"), F.lit("*").alias("name"), none.alias("alias"), F.when(F.col("module") % 3 == 0, 1).otherwise(14).alias("line"))
+    named = modules.where("module % 5 = 0").select("module", (F.col("module") + 2).alias("source"), F.lit("f3").alias("name"), F.lit("g").alias("alias"), F.lit(12).alias("line"))
+    return exports.origins(definitions, stored(star.unionByName(named)))
