@@ -1,4 +1,4 @@
-"""Exact removal of long repeated byte strings, by bucket-pointer refinement on sampled suffixes.
+"""Removal of long repeated byte strings, by hashes of what follows at sampled suffixes (not by sorting bucket identifiers; see the README).
 
 Suffixes are sampled at anchors (see ``byte_anchors``): every ``LENGTH``-byte
 window has one, at a place that only its bytes decide, so equal windows meet
@@ -22,8 +22,9 @@ hashes (gram, and hull or window) at once.
 
 Defined cases: null text is the empty one; texts under ``LENGTH`` bytes lose
 nothing; repeated rows are each other's copies; rows are told apart by id and
-a hash of their text, so null or repeated ids are fine, and ids may be of any
-type that Arrow holds; only ids and texts are read and only ids and what was
+a 32-bit hash of their text, so rows of one id (or of none) whose different
+texts share that hash are mixed up, which loses bytes: give rows ids of their
+own; ids may be of any type that Arrow holds; only ids and texts are read and only ids and what was
 found returned, so other columns may have any names; an empty table gives an
 empty result.
 """
