@@ -22,11 +22,11 @@ hashes (gram, and hull or window) at once.
 
 Defined cases: null text is the empty one; texts under ``LENGTH`` bytes lose
 nothing; repeated rows are each other's copies; rows are told apart by id and
-a 32-bit hash of their text, so rows of one id (or of none) whose different
-texts share that hash are mixed up, which loses bytes: give rows ids of their
-own; ids may be of any type that Arrow holds; only ids and texts are read and only ids and what was
-found returned, so other columns may have any names; an empty table gives an
-empty result.
+a 64-bit hash of their text, so null and repeated ids may be given; rows equal
+in both count as copies of one text, up to collisions of that hash within one
+id; ids may be of any type that Arrow holds; only ids and texts are read and
+only ids and what was found returned, so other columns may have any names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,21 +59,22 @@ def _unpacked(raw: bytes) -> bytes:
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(doc, at, gram, hull): ``at`` holds the text's hash and the run's first window; the hull's last byte the number of further windows."""
+    """(doc, code, at, gram, hull): id and hash of the text, the run's first window; the hull's last byte is the number of further windows."""
 
     def run(batches):
         for batch in batches:
-            docs, codes = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            docs, codes = batch.column(0), batch.column(1)
             raw = (t.as_py() or b"" for t in batch.column(2))
             for data, pieces in ba.chunks(raw):
                 a = ba.anchors(data, pieces)
                 more = a["last"] - a["first"]
                 hull = a["hull"] & ~np.uint64(255) | more.astype(np.uint64)
-                at = codes[a["text"]].astype(np.int64) << 32 | a["first"]
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(a["text"])), pa.array(at), pa.array(a["gram"].view(np.int64)), pa.array(hull.view(np.int64))], ["doc", "at", "gram", "hull"])
+                text = pa.array(a["text"])
+                columns = (a["first"].astype(np.int32), a["gram"].view(np.int64), hull.view(np.int64))
+                yield pa.RecordBatch.from_arrays([docs.take(text), codes.take(text), *map(pa.array, columns)], ["doc", "code", "at", "gram", "hull"])
 
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc {kind}, at long, gram long, hull long")
+    return texts.mapInArrow(run, f"doc {kind}, code long, at int, gram long, hull long")
 
 
 def _with_text(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -83,10 +84,6 @@ def _with_text(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return left.join(right, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("code") == F.col("_code")), how).drop("_doc", "_code")
 
 
-def _code_of(at) -> F.Column:
-    return F.shiftright(at, 32).cast("int")
-
-
 def _hull_rows(joined: DataFrame) -> DataFrame:
     """A row for each class of an open bucket, with its hull's bytes."""
     kind = joined.schema["doc"].dataType.simpleString()
@@ -95,11 +92,11 @@ def _hull_rows(joined: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 raw = _unpacked(row["packed"])
-                out = [{"doc": row["doc"], **c, "hull": raw[(f := c["at"] & 0xFFFFFFFF) : f + c["more"] + ba.LENGTH]} for c in row["classes"]]
+                out = [{"doc": row["doc"], "code": row["code"], **c, "hull": raw[c["at"] : c["at"] + c["more"] + ba.LENGTH]} for c in row["classes"]]
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    target = pa.schema([("doc", batch_type(joined.schema["doc"].dataType)), ("at", pa.int64()), ("more", pa.int32()), ("gram", pa.int64()), ("alone", pa.bool_()), ("busy", pa.bool_()), ("hull", pa.binary())])
-    return joined.mapInArrow(run, f"doc {kind}, at long, more int, gram long, alone boolean, busy boolean, hull binary")
+    target = pa.schema([("doc", batch_type(joined.schema["doc"].dataType)), ("code", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("gram", pa.int64()), ("alone", pa.bool_()), ("busy", pa.bool_()), ("hull", pa.binary())])
+    return joined.mapInArrow(run, f"doc {kind}, code long, at int, more int, gram long, alone boolean, busy boolean, hull binary")
 
 
 def batch_type(kind: T.DataType) -> pa.DataType:
@@ -144,9 +141,9 @@ def _repeats_in(table: pa.Table) -> pa.RecordBatch:
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(found)) - 1 if len(found) else start
     a, b = found[start], found[end] if len(found) else start
-    doc = table.column("doc").combine_chunks().take(pa.array(row[a]))
-    at = table.column("at").to_numpy()[row[a]] + offset[a]
-    return pa.RecordBatch.from_arrays([doc, pa.array(at), pa.array((offset[b] - offset[a]).astype(np.int32))], ["doc", "at", "more"])
+    doc, code = (table.column(c).combine_chunks().take(pa.array(row[a])) for c in ("doc", "code"))
+    at = table.column("at").to_numpy()[row[a]] + offset[a].astype(np.int32)
+    return pa.RecordBatch.from_arrays([doc, code, pa.array(at), pa.array((offset[b] - offset[a]).astype(np.int32))], ["doc", "code", "at", "more"])
 
 
 def _small_buckets(hulls: DataFrame) -> DataFrame:
@@ -165,7 +162,7 @@ def _small_buckets(hulls: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield _repeats_in(held)
 
-    return hulls.where("not busy").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc {kind}, at long, more int")
+    return hulls.where("not busy").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc {kind}, code long, at int, more int")
 
 
 def _lead(hull: bytes) -> int:
@@ -192,10 +189,11 @@ def _chunk_rows(hulls: DataFrame) -> DataFrame:
                     for key, v in (("at", row["at"] + a), ("more", b - 1 - a), ("gram", row["gram"]), ("alone", row["alone"]), ("chunk", value - (value >> 63 << 64)), ("hull", piece)):
                         out[key].append(v)
             if docs:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs)), *map(pa.array, out.values(), types)], ["doc", *out])
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                take = pa.array(docs)
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("code").take(take), *map(pa.array, out.values(), types)], ["doc", "code", *out])
 
-    return hulls.where("busy").mapInArrow(run, f"doc {kind}, at long, more int, gram long, alone boolean, chunk long, hull binary")
+    return hulls.where("busy").mapInArrow(run, f"doc {kind}, code long, at int, more int, gram long, alone boolean, chunk long, hull binary")
 
 
 def _window_rows(chunks: DataFrame) -> DataFrame:
@@ -206,42 +204,43 @@ def _window_rows(chunks: DataFrame) -> DataFrame:
             if batch.num_rows:
                 row, offset, window = _windows(batch)
                 take = pa.array(row)
-                at = batch.column("at").to_numpy()[row] + offset
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), pa.array(at), batch.column("gram").take(take), batch.column("alone").take(take), pa.array(window.view(np.int64))], ["doc", "at", "gram", "alone", "window"])
+                at = batch.column("at").to_numpy()[row] + offset.astype(np.int32)
+                doc, code, gram, alone = (batch.column(c).take(take) for c in ("doc", "code", "gram", "alone"))
+                yield pa.RecordBatch.from_arrays([doc, code, pa.array(at), gram, alone, pa.array(window.view(np.int64))], ["doc", "code", "at", "gram", "alone", "window"])
 
-    return chunks.mapInArrow(run, f"doc {kind}, at long, gram long, alone boolean, window long")
+    return chunks.mapInArrow(run, f"doc {kind}, code long, at int, gram long, alone boolean, window long")
 
 
 def _crowded_buckets(hulls: DataFrame) -> DataFrame:
     """First by stretches of up to ``STEP`` windows, then, where those differ, by single windows; a stretch of many is kept once as a witness."""
     chunks = stored(_chunk_rows(hulls))
-    shared = stored(chunks.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one")).where("n > 1").drop("n"))
+    shared = stored(chunks.groupBy("gram", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc", "code", "at")).alias("one")).where("n > 1").drop("n"))
     joined = stored(chunks.join(shared, ["gram", "chunk"], "left"))
     discard(chunks)
-    settled = joined.where("alone and one is not null").select("doc", "at", "more")
-    witness = F.struct("doc", "at").eqNullSafe(F.col("one"))
-    going = joined.where(F.col("one").isNull() | witness).select("doc", "at", "more", "gram", (F.col("alone") & F.col("one").isNull()).alias("alone"), "hull")
+    settled = joined.where("alone and one is not null").select("doc", "code", "at", "more")
+    witness = F.struct("doc", "code", "at").eqNullSafe(F.col("one"))
+    going = joined.where(F.col("one").isNull() | witness).select("doc", "code", "at", "more", "gram", (F.col("alone") & F.col("one").isNull()).alias("alone"), "hull")
     spread = stored(_window_rows(going))
     often = stored(spread.groupBy("gram", "window").count().where("count > 1").drop("count"))
-    return settled.unionByName(spread.where("alone").join(often, ["gram", "window"]).select("doc", "at", F.lit(0).alias("more")))
+    return settled.unionByName(spread.where("alone").join(often, ["gram", "window"]).select("doc", "code", "at", F.lit(0).alias("more")))
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(doc, at, more): runs of repeated windows of (doc, code, raw); ``at``: code and first window, ``more``: further ones."""
+    """(doc, code, at, more): runs of repeated windows of (doc, code, raw); ``at``: the first window, ``more``: further ones."""
     anchors = _anchor_rows(texts)
     buckets = stored(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("open")))
     more = F.col("hull").bitwiseAND(255).cast("int")
-    met = stored(anchors.join(buckets, "gram").select("doc", "at", more.alias("more"), *(F.when(F.col("open"), F.col(c)).alias(c) for c in ("gram", "hull"))))
+    met = stored(anchors.join(buckets, "gram").select("doc", "code", "at", more.alias("more"), *(F.when(F.col("open"), F.col(c)).alias(c) for c in ("gram", "hull"))))
     discard(buckets)
-    settled = met.where("gram is null").select("doc", "at", "more")
+    settled = met.where("gram is null").select("doc", "code", "at", "more")
 
     left = met.where("gram is not null")
-    classes = stored(left.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one")))
-    agreed = left.join(classes.where("n > 1").select("gram", "hull"), ["gram", "hull"]).select("doc", "at", "more")
+    classes = stored(left.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "code", "at")).alias("one")))
+    agreed = left.join(classes.where("n > 1").select("gram", "hull"), ["gram", "hull"]).select("doc", "code", "at", "more")
 
     sizes = stored(classes.groupBy("gram").agg((F.count("*") > CROWD).alias("busy"), F.min("n").alias("least")).where("least = 1").drop("least"))
-    going = classes.join(sizes, "gram").select("gram", F.col("one.doc").alias("doc"), F.col("one.at").alias("at"), more.alias("more"), (F.col("n") == 1).alias("alone"), "busy")
-    lists = going.groupBy("doc", _code_of("at").alias("code")).agg(F.collect_list(F.struct("at", "more", "gram", "alone", "busy")).alias("classes"))
+    going = classes.join(sizes, "gram").select("gram", F.col("one.doc").alias("doc"), F.col("one.code").alias("code"), F.col("one.at").alias("at"), more.alias("more"), (F.col("n") == 1).alias("alone"), "busy")
+    lists = going.groupBy("doc", "code").agg(F.collect_list(F.struct("at", "more", "gram", "alone", "busy")).alias("classes"))
     hulls = stored(_hull_rows(_with_text(texts, lists, "inner")))
     return settled.unionByName(agreed).unionByName(_small_buckets(hulls)).unionByName(_crowded_buckets(hulls))
 
@@ -255,7 +254,7 @@ def _cut(packed: pa.Array, runs: pa.Array) -> pa.Array:
     for p, r in zip(packed, runs):
         raw, out, last, spans = _unpacked(p.as_py()), [], 0, []
         if r.is_valid:
-            begin = r.values.field("at").to_numpy() & 0xFFFFFFFF
+            begin = r.values.field("at").to_numpy()
             end = begin + r.values.field("more").to_numpy() + ba.LENGTH
             order = np.argsort(begin, kind="stable")
             begin, reach = begin[order], np.maximum.accumulate(end[order])
@@ -272,8 +271,8 @@ def _cut(packed: pa.Array, runs: pa.Array) -> pa.Array:
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_bytes``, ``removed`` (maximal byte spans) and ``kept`` (the bytes left) for each row of ``docs``."""
     whole = F.coalesce(text, F.lit(""))
-    texts = docs.select(F.col(doc_id).alias("doc"), F.hash(whole).alias("code"), whole.cast("binary").alias("raw"))
-    runs = repeated_runs(texts).groupBy("doc", _code_of("at").alias("code")).agg(F.collect_list(F.struct("at", "more")).alias("runs"))
+    texts = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(whole).alias("code"), whole.cast("binary").alias("raw"))
+    runs = repeated_runs(texts).groupBy("doc", "code").agg(F.collect_set(F.struct("at", "more")).alias("runs"))
     joined = _with_text(texts, runs, "left")
     cut = joined.select(F.col("doc").alias("id"), _cut("packed", "runs").alias("cut")).select("id", "cut.*")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])

@@ -102,6 +102,21 @@ def test_op4(spark, sf_dir, texts):
     assert sorted(rows_of(spark, "op4_suffix_dedup", sf_dir), key=key) == sorted(want, key=key)
 
 
+def test_op4_rows_of_one_id_are_told_apart(spark):
+    """Two texts with one 32-bit hash under a null id: only the one that repeats goes; its copies under that id go alike."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import suffix_dedup
+
+    many = spark.range(400_000).select(F.concat(*(F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256) for k in range(4))).alias("text"))
+    pair = many.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1).first().texts
+    a, b = pair[:2]
+    rows = [(None, a), (None, b), (None, a), (7, a), (7, "short"), (7, b[:199])]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, 256, [(0, 256)], b"") if t == a else (i, len(t), [], t.encode()) for i, t in rows]
+    assert sorted(((r.id, r.n_bytes, [tuple(s) for s in r.removed], bytes(r.kept)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_op4_crowded_buckets(spark, monkeypatch):
     from millrace.llm import suffix_dedup
 
