@@ -8,7 +8,8 @@ import sentencepiece
 
 import corpus_pipeline
 from millrace.llm import pii, toxicity
-from test_llm_queries import brute_components, brute_targets
+from test_llm_queries import brute_targets
+from test_near_copies import brute
 
 
 def rows(df):
@@ -27,9 +28,9 @@ def test_stages(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = rows(docs)
         if name == "simhash":
-            _, first, group = brute_components([(r[0], r[1]) for r in before])
-            assert len(kept[name]) == len(set(group)) and all(r in before for r in kept[name])
-            assert Counter(r[0] for r in kept[name]) == Counter(dict(zip(group, first)).values())
+            ranked = sorted(before, key=lambda r: (r[0] is None, r[0] or 0))
+            assert Counter(r[0] for r in kept[name]) == Counter(ranked[i][0] for i in brute([(i, r[1]) for i, r in enumerate(ranked)]))
+            assert all(r in before for r in kept[name])
         if name == "pii":
             assert Counter(r[1] for r in kept[name]) == Counter(None if r[1] is None else pii.redact(r[1]) for r in before)
         if name == "mixing":
