@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.lineage import stored
-from millrace.operators import code_metrics, context, exports, findings, graph, program
+from millrace.operators import code_metrics, context, exports, findings, graph, intervals, program
 from millrace.plans.program_queries import _PROGRAMS, Programs
 from millrace.sources import python_code, python_flow
 from millrace.sources.tables import table
@@ -283,3 +283,31 @@ def name_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = modules.where("module % 3 < 2").select("module", (F.col("module") + 1).alias("source"), F.lit("*").alias("name"), none.alias("alias"), F.when(F.col("module") % 3 == 0, 1).otherwise(14).alias("line"))
     named = modules.where("module % 5 = 0").select("module", (F.col("module") + 2).alias("source"), F.lit("f3").alias("name"), F.lit("g").alias("alias"), F.lit(12).alias("line"))
     return exports.origins(definitions, stored(star.unionByName(named)))
+
+
+@query(f"""WITH RECURSIVE {_PROGRAMS}, item AS (SELECT func, row_number() OVER (PARTITION BY func ORDER BY block) AS i, flag, value, 5 + 10 * value AS goal FROM b),
+    st AS (SELECT DISTINCT func, 1::BIGINT AS i, 0::BIGINT AS lo, 0::BIGINT AS hi FROM item
+        UNION ALL SELECT st.func, st.i + 1, CASE flag WHEN 'A' THEN value WHEN 'N' THEN greatest(lo, goal) ELSE lo END,
+            CASE flag WHEN 'A' THEN value WHEN 'N' THEN greatest(hi, goal) ELSE CASE WHEN value = 0 THEN 1000000000 ELSE hi + value END END FROM st JOIN item USING (func, i)),
+    met AS (SELECT * FROM st JOIN item USING (func, i)),
+    found AS (SELECT func, 2 * i + 1 AS line, lo, CASE WHEN flag = 'N' THEN greatest(hi, goal) ELSE 1000000000 END AS hi FROM met WHERE flag = 'N' OR flag = 'R' AND value = 0
+        UNION ALL SELECT func, 2 * i + 2, lo, goal - 1 FROM met WHERE flag = 'N' AND lo < goal
+        UNION ALL SELECT func, 2 * i + 2, lo, CASE WHEN value = 0 THEN 1000000000 ELSE hi END FROM met WHERE flag = 'R')
+    SELECT 'o' || func || '.py::f' AS func, line, lo AS low, CASE WHEN hi < 1000000000 THEN hi END AS high FROM found""")
+def code_value_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a counter may hold at loop heads and in the bodies of loops and branches (high of null: no bound), of functions that count up to goals, branch on a parameter and set the counter anew; the SQL steps through the code."""
+    ranked = Programs(spark, sf_dir).blocks.withColumn("i", F.row_number().over(Window.partitionBy("func").orderBy("block")))
+    flag, value = F.col("flag"), F.col("value").cast("string")
+    goal = (5 + 10 * F.col("value")).cast("string")
+    head = F.when(flag == "A", F.concat(F.lit("x = "), value)).when(flag == "N", F.concat(F.lit("while x < "), goal, F.lit(":"))).when(F.col("value") == 0, F.lit("while a:"))
+    head = head.otherwise(F.concat(F.lit("if a > "), F.col("i").cast("string"), F.lit(":")))
+    body = F.when(flag == "A", F.lit("pass")).when((flag == "R") & (F.col("value") > 0), F.concat(F.lit("    x = x + "), value)).otherwise(F.lit("    x += 1"))
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", head.alias("a"), body.alias("b")))), lambda s: F.array(F.concat(F.lit("    "), s["a"]), F.concat(F.lit("    "), s["b"]))))
+    texts = ranked.groupBy("func").agg(lines.alias("lines")).select(F.concat(F.lit("o"), "func", F.lit(".py")).alias("path"), F.array_join(F.concat(F.array(F.lit("def f(a):"), F.lit("    x = 0")), "lines", F.array(F.lit("    return x"))), "\n").alias("text"))
+    parsed = stored(python_flow.flows(texts))
+    found = python_flow.value_ranges(parsed).where("variable = 'x'")
+    begins = python_flow.relation(parsed, "lines").groupBy("func", "block").agg(F.min_by("line", "nth").cast("long").alias("line"))
+    loops = python_flow.relation(parsed, "blocks").where("block_type = 'loop'").select("func", "block")
+    inside = python_flow.relation(parsed, "edges").where("label = 'true'").select("func", F.col("dst").alias("block"))
+    asked = begins.join(loops.unionByName(inside), ["func", "block"], "left_semi")
+    return found.join(asked, ["func", "block"]).select("func", "line", F.col("low").cast("long").alias("low"), F.when(F.col("high") < intervals.INFINITY, F.col("high").cast("long")).alias("high"))

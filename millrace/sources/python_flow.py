@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.lineage import stored
-from millrace.operators import dominance
+from millrace.operators import dominance, intervals
 from millrace.operators.fixpoint import closure
+from millrace.sources import python_values
 
 _BLOCK = {"func": pa.string(), "block": pa.int32(), "block_type": pa.string(), "start_line": pa.int32(), "end_line": pa.int32()}
 _EDGE = {"func": pa.string(), "src": pa.int32(), "dst": pa.int32(), "label": pa.string()}
 _NAME = {"func": pa.string(), "block": pa.int32(), "line": pa.int32(), "nth": pa.int32(), "variable": pa.string()}
 _LINE = {"func": pa.string(), "block": pa.int32(), "line": pa.int32(), "nth": pa.int32()}
-_PARTS = {"blocks": _BLOCK, "edges": _EDGE, "defs": _NAME, "uses": _NAME, "lines": _LINE}
-_SQL = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
+_EFFECT = {"func": pa.string(), "block": pa.int32(), "variable": pa.string(), "source": pa.string(), "add": pa.float64(), "most": pa.float64()}
+_TEST = {"func": pa.string(), "block": pa.int32(), "label": pa.string(), "variable": pa.string(), "at_least": pa.float64(), "at_most": pa.float64()}
+_SHARED = {"func": pa.string(), "variable": pa.string()}
+_PARTS = {"blocks": _BLOCK, "edges": _EDGE, "defs": _NAME, "uses": _NAME, "lines": _LINE, "effects": _EFFECT, "tests": _TEST, "shared": _SHARED}
+_SQL = {pa.string(): T.StringType(), pa.int32(): T.IntegerType(), pa.float64(): T.DoubleType()}
 
 
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
@@ -129,6 +133,8 @@ class _Walk:
     def __init__(self, name: str, node: ast.FunctionDef | ast.AsyncFunctionDef, out: dict):
         self.name, self.out, self.rows, self.nth = name, out, [], 0
         self.frames: list[_Loop | _Handlers | _Finally] = []
+        self.made: dict[int, dict[str, tuple[str, float, float]]] = {}
+        out["shared"] += [{"func": name, "variable": v} for n in ast.walk(node) if isinstance(n, (ast.Global, ast.Nonlocal)) for v in n.names]
         entry, self.exit = self.block("entry", node.lineno), self.block("exit", node.end_lineno)
         for a in _parameters(node.args):
             self.name_row("defs", entry, node.lineno, a.arg)
@@ -137,6 +143,8 @@ class _Walk:
         end = self.body(node.body, first)
         if end is not None:
             self.edge(end, self.exit)
+        for at, made in self.made.items():
+            out["effects"] += [{"func": name, "block": at, "variable": v, "source": source, "add": add, "most": most} for v, (source, add, most) in made.items()]
 
     def block(self, kind: str, line: int) -> int:
         self.rows.append({"func": self.name, "block": len(self.rows), "block_type": kind, "start_line": line, "end_line": line})
@@ -157,8 +165,21 @@ class _Walk:
         for node in nodes:
             if node is not None:
                 self.rows[block]["end_line"] = max(self.rows[block]["end_line"], getattr(node, "end_lineno", line) if not isinstance(node, (*_FUNCTIONS, ast.ClassDef)) else line)
-            for is_def, name, at in _names(node):
+            names = list(_names(node))
+            for is_def, name, at in names:
                 self.name_row("defs" if is_def else "uses", block, at, name)
+            self.sets(block, python_values.moves(node, {name for is_def, name, _ in names if is_def}))
+
+    def sets(self, block: int, moves: dict[str, tuple[str, float, float]]) -> None:
+        """``moves`` after what the block has set so far; all of them read what was there before any."""
+        made = self.made.setdefault(block, {})
+        before = {source: made.get(source, (source, 0.0, 0.0)) for source, _, _ in moves.values()}
+        for name, (source, add, most) in moves.items():
+            of, low, high = before[source]
+            made[name] = (of, low + add, high + most)
+
+    def tests(self, block: int, found: list[tuple[str, str, int | None, int | None]]) -> None:
+        self.out["tests"] += [{"func": self.name, "block": block, "label": label, "variable": v, "at_least": low, "at_most": high} for label, v, low, high in found]
 
     def body(self, statements: list[ast.stmt], at: int | None) -> int | None:
         """The block in which ``statements`` end; None if they always leave."""
@@ -222,6 +243,7 @@ class _Walk:
             at = self.fails(own)
         if isinstance(s, ast.If):
             self.read(at, s.lineno, s.test)
+            self.tests(at, python_values.guards(s.test))
             yes = self.branch(s.body, at, "true")
             no = (self.branch(s.orelse, at, "false"), None) if s.orelse else (at, "false")
             return self.joined(s.end_lineno, (yes, None), no)
@@ -245,6 +267,7 @@ class _Walk:
         head, endless = self.fails(self.block("loop", s.lineno)), isinstance(s, ast.While) and _always(s.test)
         self.edge(at, head)
         self.read(head, s.lineno, *((s.test,) if isinstance(s, ast.While) else (s.iter, s.target)))
+        self.tests(head, python_values.guards(s.test) if isinstance(s, ast.While) else python_values.counted(s))
         frame = _Loop(head, s.end_lineno)
         self.frames.append(frame)
         end = self.branch(s.body, head, "true")
@@ -283,6 +306,7 @@ class _Walk:
                 caught = self.block("body", h.lineno)
                 self.edge(test, caught, "caught")
                 self.name_row("defs", caught, h.lineno, h.name)
+                self.sets(caught, {h.name: python_values.UNKNOWN})
             ends.append(self.branch(h.body, caught, "caught" if caught == test else "then"))
             dispatch = test if h.type is not None else None
         if dispatch is not None:  # nothing that catches all
@@ -336,12 +360,12 @@ def _flows(texts: pa.Array) -> pa.Array:
 
 
 def flows(files: DataFrame) -> DataFrame:
-    """(path, blocks, edges, defs, uses, lines) of (path, text). Write it before deriving several relations."""
+    """(path, blocks, edges, defs, uses, lines, effects, tests, shared) of (path, text). Write it before deriving several relations."""
     return files.select("path", _flows("text").alias("f")).select("path", "f.*")
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:
-    """One of ``blocks``, ``edges``, ``defs``, ``uses``, ``lines`` (the statements' lines) as rows; ``func`` is path::qualified."""
+    """One of ``blocks``, ``edges``, ``defs``, ``uses``, ``lines`` (the statements' lines), ``effects``, ``tests`` (see ``python_values``), ``shared`` (global and nonlocal names) as rows; ``func`` is path::qualified."""
     rows = parsed.select("path", F.inline(name))
     return rows.withColumn("func", F.concat_ws("::", "path", "func")).drop("path")
 
@@ -367,6 +391,21 @@ def data_flow(parsed: DataFrame) -> DataFrame:
     return inside.unionByName(from_before).distinct()
 
 
+def value_ranges(parsed: DataFrame) -> DataFrame:
+    """(func, block, variable, low, high): what whole numbers a variable may hold where a block begins, by widening at loop heads and narrowing."""
+    edges, starts = python_values.value_edges(parsed)
+    flow = stored(relation(parsed, "edges").select("func", "src", "dst").distinct())
+    entries = flow.select("func", F.lit(0).alias("block")).distinct()
+    over = dominance.dominators(flow, entries)
+    inside = stored(dominance.loops(flow, over))
+    # A head widens what its loop changes; joins on cycles of several ways in widen all.
+    changing = edges.where("source <> variable or add <> 0 or most <> 0").select("func", F.col("src").alias("block"), "variable").distinct()
+    heads = inside.join(changing, ["func", "block"]).select("func", F.col("head").alias("block"), "variable").distinct()
+    others = dominance.widening_points(flow, over).join(inside.select("func", F.col("head").alias("block")), ["func", "block"], "left_anti")
+    found = intervals.ranges(edges, starts, heads.unionByName(others.join(edges.select("func", "variable").distinct(), "func").select("func", "block", "variable")))
+    return found.where(F.col("variable") != python_values.NOTHING)
+
+
 def control_flow_dependence(parsed: DataFrame) -> DataFrame:
     """(func, src, dst, label): lines that run or not as the last line of a branching block decides, with the branch."""
     edges, lines = relation(parsed, "edges"), relation(parsed, "lines")
