@@ -17,10 +17,18 @@ are read whole; repeated rows stay; rows with a null id take the smallest id of
 their component, null if it has none; an empty table gives an empty result.
 Ids may be of any type that orders. Only the columns of ids and texts are read,
 so others may have any names.
+
+Fingerprints further apart, where blocks that must agree would be too short to
+tell anything, are looked for in sorted tables (``neighbours``): the bits are
+turned round several times, each table is sorted, and each fingerprint is held
+against the next few. This costs the same for each, whatever groups there are,
+and finds pairs by chance: a caller that may lose none has to complete them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +44,17 @@ WORDS, SEED, NEAR = 3, 42, 2
 LEVELS = (16, 8, 4)
 #: Hashes whose bits are counted at once.
 SLICE = 1 << 14
+#: Sorted tables, and how many that follow each is held against.
+TURNS, NEXT = 8, 4
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are 1 where over half of the hashes have them, signed; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), SLICE):
+        some = hashes[i : i + SLICE].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def simhash(raw: bytes) -> int:
@@ -45,12 +64,7 @@ def simhash(raw: bytes) -> int:
         return 0
     shingles = zip(*(words[i:] for i in range(WORDS))) if len(words) >= WORDS else [words]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(s), SEED) for s in shingles], "<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), SLICE):
-        some = hashes[i : i + SLICE].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array([digest(b" ".join(s), SEED) for s in shingles], "<u8"))
 
 
 @F.arrow_udf(T.LongType())
@@ -97,6 +111,39 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return met.where(F.col("a") < F.col("b")).where(near).select("a", "b")
 
 
+def _held_against_next(near: int):
+    """A function on sorted batches (turn, turned, node): (a, b) of nodes up to ``NEXT`` places and ``near`` bits apart."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in ("i4", "i8", "i8")]
+        for batch in batches:
+            turn, turned, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            known, a, b = len(held[0]), [], []
+            for d in range(1, NEXT + 1):
+                later = np.arange(max(known, d), len(node))
+                close = (turn[later] == turn[later - d]) & (np.bitwise_count((turned[later] ^ turned[later - d]).view("u8")) <= near)
+                a.append(node[later - d][close])
+                b.append(node[later][close])
+            yield pa.RecordBatch.from_arrays([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+            held = [x[-NEXT:] for x in (turn, turned, node)]
+
+    return pairs
+
+
+def neighbours(fps: DataFrame, near: int) -> DataFrame:
+    """Pairs (a, b), a < b, of ``node`` (longs) whose fingerprints ``fp`` are neighbours in a sorted table and at most ``near`` bits apart.
+
+    Of nodes with one fingerprint each meets the next. Which pairs are found
+    also depends on where the sorted tables are cut into tasks.
+    """
+    width = 64 // TURNS
+    turns = [F.struct(F.lit(i).alias("turn"), F.shiftleft("fp", width * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - width * i) if i else F.lit(0)).alias("turned")) for i in range(TURNS)]
+    tables = fps.select("node", F.explode(F.array(*turns)).alias("t")).select("t.turn", "t.turned", "node")
+    order = ("turn", "turned", "node")
+    met = tables.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_held_against_next(near), "a long, b long")
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def grouped(prints: DataFrame) -> DataFrame:
     """(fp, first): for each distinct fingerprint of (id, fp) its component's smallest id.
 

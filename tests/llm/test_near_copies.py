@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from millrace.llm import near_copies
+from millrace.lineage import stored
+from millrace.llm import near_copies, simhash
 
 
 def shingle_set(text):
@@ -77,3 +78,42 @@ def test_columns_of_any_name_stay(spark):
     got = near_copies.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted((rows[0], *rows[2:]), key=str)
+
+
+def test_pairs_follow_the_size_of_a_group_not_its_square(spark, monkeypatch):
+    """Half of a group is alike, half is not quite; fingerprints find the first half, whatever prefixes would begin with."""
+    formed, sift = [], near_copies._sifted
+
+    def sifted(pairs, classes):
+        pairs = stored(pairs)
+        formed.append(pairs.count())
+        return sift(pairs, classes)
+
+    monkeypatch.setattr(near_copies, "_sifted", sifted)
+    totals = {}
+    for size in (100, 400):
+        r, base = random.Random(1), [f"w{i}" for i in range(150)]
+        texts = [edited(r, base, 1 + i % 2 if i < size // 2 else 6) for i in range(size)]
+        formed.clear()
+        kept = near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {x.doc_id for x in kept.collect()} == brute(list(enumerate(texts)))
+        assert sum(formed[1:]) < size
+        totals[size] = sum(formed)
+    assert totals[400] < 6 * totals[100]
+
+
+def test_sorted_fingerprints_find_near_ones(spark):
+    r = random.Random(8)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    prints, planted = [r.getrandbits(64) for _ in range(400)], set()
+    for i in range(0, 400, 2):
+        bits = r.sample(range(64), i % 6)
+        prints[i + 1] = prints[i] ^ sum(1 << b for b in bits)
+        planted.add((i, i + 1))
+    prints += [7] * 20  # of one fingerprint each meets the next
+    fps = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(prints)], "node long, fp long")
+    got = [tuple(x) for x in simhash.neighbours(fps, 12).collect()]
+    assert len(got) == len(set(got)) and all(a < b and (prints[a] ^ prints[b]).bit_count() <= 12 for a, b in got)
+    assert len(planted & set(got)) >= 0.95 * len(planted)
+    assert {(i, i + 1) for i in range(400, 419)} <= set(got)
+    assert not [p for p in simhash.neighbours(fps, 0).collect() if prints[p.a] != prints[p.b]]
