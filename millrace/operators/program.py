@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.lineage import discard, stored
+from millrace.lineage import kept, stored
 from millrace.operators import graph
+from millrace.operators.fixpoint import closure
 
 
 def _at(column: str):
@@ -74,20 +75,11 @@ def constants(edges: DataFrame, sets: DataFrame, entry_unknown: DataFrame) -> Da
     hold anything at an entry block. Reaching definitions, then a meet by
     aggregation; a conflict or a null is no constant.
     """
-    sets = sets.unionByName(entry_unknown.withColumn("value", F.lit(None).cast(sets.schema["value"].dataType)))
-    at_exit = stored(sets.select("func", "block", "variable", F.col("block").alias("by")))
-    seen = None
-    while True:
-        moved = at_exit.join(edges.withColumnRenamed("src", "block"), ["func", "block"]).select("func", F.col("dst").alias("block"), "variable", "by").distinct()
-        new = stored(moved if seen is None else moved.join(seen, ["func", "block", "variable", "by"], "left_anti"))
-        if new.isEmpty():
-            break
-        grown = stored(new if seen is None else seen.unionByName(new))
-        if seen is not None:
-            discard(seen)
-        seen = grown
-        at_exit = stored(new.join(sets.select("func", "block", "variable"), ["func", "block", "variable"], "left_anti"))
-    reaching = new if seen is None else seen
+    sets = stored(sets.unionByName(entry_unknown.withColumn("value", F.lit(None).cast(sets.schema["value"].dataType))))
+    steps = kept(edges.select("func", F.col("src").alias("block"), "dst").distinct())
+    onward = lambda rows: rows.join(steps, ["func", "block"]).select("func", F.col("dst").alias("block"), "variable", "by")
+    at_exit = sets.select("func", "block", "variable", F.col("block").alias("by"))
+    reaching = closure(onward(at_exit), lambda new: onward(new.join(sets.select("func", "block", "variable"), ["func", "block", "variable"], "left_anti")))
     valued = reaching.join(sets.select("func", F.col("block").alias("by"), "variable", "value"), ["func", "by", "variable"])
     met = valued.groupBy("func", "block", "variable").agg(F.min("value").alias("value"), F.max("value").alias("high"), F.bool_or(F.col("value").isNull()).alias("any"))
     return met.where("not any and value = high").select("func", "block", "variable", "value")
