@@ -4,10 +4,15 @@ Relations over the exploded graph, a place being (node, fact): ``flow`` (node,
 fact, to_node, to_fact) inside procedures and past calls, ``calls`` (site,
 fact, entry, entry_fact), ``returns`` (exit, fact, site, to_node, to_fact). A
 way is valid if every return goes back to the call that it came from.
+
+``tabulated`` is the same for procedures that call one another only and that
+one task can hold, at once and without rounds over all procedures.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Hashable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -77,3 +82,35 @@ def demanded(flow: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataF
     some = [stored(leading(flow, "to_node", "to_fact")), stored(leading(calls, "entry", "entry_fact")), stored(leading(returns, "to_node", "to_fact"))]
     paths = path_edges(*some, leading(seeds, "node", "fact"))
     return paths.join(queries.select("node", "fact").distinct(), ["node", "fact"], "left_semi")
+
+
+def tabulated(flow: Callable[[Hashable, Hashable], Iterable[tuple]], calls: Callable[[Hashable, Hashable], Iterable[tuple]], returns: Callable[[Hashable, Hashable, Hashable], Iterable[tuple]], seeds: Iterable[tuple]) -> set[tuple]:
+    """(entry, entry_fact, node, fact) as ``path_edges``; the relations are functions of plain values.
+
+    ``flow`` (node, fact) gives (to_node, to_fact), ``calls`` (site, fact)
+    gives (entry, entry_fact), ``returns`` (exit, fact, site) gives (to_node,
+    to_fact): nothing where the node is no exit of what the site calls.
+    """
+    found = {(*s, *s) for s in seeds}
+    todo, callers, reached = list(found), defaultdict(set), defaultdict(set)
+
+    def add(*path) -> None:
+        if path not in found:
+            found.add(path)
+            todo.append(path)
+
+    while todo:
+        entry, entry_fact, node, fact = todo.pop()
+        for to in flow(node, fact):
+            add(entry, entry_fact, *to)
+        for begun in calls(node, fact):
+            add(*begun, *begun)
+            callers[begun].add((entry, entry_fact, node))
+            for end in list(reached[begun]):
+                for to in returns(*end, node):
+                    add(entry, entry_fact, *to)
+        reached[entry, entry_fact].add((node, fact))
+        for outer, outer_fact, site in list(callers[entry, entry_fact]):
+            for to in returns(node, fact, site):
+                add(outer, outer_fact, *to)
+    return found

@@ -9,6 +9,9 @@ it came; a summary edge stands for such a way through a callee and back.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +63,41 @@ def two_phase_slice(inside: DataFrame, param_in: DataFrame, param_out: DataFrame
         return closure(start, lambda new: new.join(steps, "node").select("origin", F.col("to").alias("node")))
 
     return phase(phase(criteria.select("origin", "node"), up), down)
+
+
+def _closed(start: Iterable, *steps: dict) -> set:
+    seen, todo = set(start), list(start)
+    while todo:
+        node = todo.pop()
+        for step in steps:
+            for to in step.get(node, ()):
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+    return seen
+
+
+def sliced(inside: Iterable[tuple], param_in: Iterable[tuple], param_out: Iterable[tuple], criteria: Iterable) -> dict:
+    """{criterion: nodes} backward as ``two_phase_slice``, of relations that one task can hold, as plain tuples."""
+    flat, up, down = defaultdict(set), defaultdict(set), defaultdict(set)
+    for src, dst in inside:
+        flat[dst].add(src)
+    passed, received = defaultdict(list), defaultdict(list)
+    for site, src, dst in param_in:
+        up[dst].add(src)
+        passed[site].append((src, dst))
+    for site, src, dst in param_out:
+        down[dst].add(src)
+        received[site].append((src, dst))
+    grown = True
+    while grown:  # a summary is a further step inside, until there is none
+        grown, before = False, {}
+        for site, gives in received.items():
+            for given, got in gives:
+                if given not in before:
+                    before[given] = _closed([given], flat)
+                new = {source for source, taken in passed.get(site, ()) if taken in before[given]} - flat[got]
+                if new:
+                    flat[got] |= new
+                    grown = True
+    return {c: _closed(_closed([c], flat, up), flat, down) for c in criteria}

@@ -162,3 +162,39 @@ def test_no_rows(spark):
     inside, across = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "site int, src string, dst string")
     assert sdg.summaries(inside, across, across).isEmpty()
     assert sdg.two_phase_slice(inside, across, across, spark.createDataFrame([("a", "a")], "origin string, node string")).count() == 1
+
+
+def test_one_pass_equals_rounds(spark):
+    """Facts and slices of what one task holds, by plain values, against the relational forms; recursion included."""
+    r = random.Random(4)
+    systems = [random_system(seed) for seed in range(12)]
+    inside, into, back = (sum((s[k] for s in systems), []) for k in (1, 2, 3))
+    frames = [stored(spark.createDataFrame(rows, schema)) for rows, schema in ((inside, "src string, dst string"), (into, "site int, src string, dst string"), (back, "site int, src string, dst string"))]
+    criteria = [n for s in systems for n in s[0]]
+    want = {(x.origin, x.node) for x in sdg.two_phase_slice(*frames, spark.createDataFrame([(n, n) for n in criteria], "origin string, node string")).collect()}
+    assert {(c, n) for c, found in sdg.sliced(inside, into, back, criteria).items() for n in found} == want
+
+    place = lambda s: (f"{s}{r.choice('abcdefgh')}", r.randrange(3))
+    flow = [(*place(s), *place(s)) for s in range(12) for _ in range(14)]
+    calls = [row for s in range(12) for row in [(f"{s}c", f, f"{s}e", f) for f in range(3)] + [(f"{s}a", 1, f"{s}g", 2)]]
+    returns = [row for s in range(12) for row in [(f"{s}f", f, f"{s}c", f"{s}d", f) for f in range(3)] + [(f"{s}h", 1, f"{s}a", f"{s}b", 0)]]
+    seeds = [x for s in range(12) for x in ((f"{s}a", 0), (f"{s}a", 1), (f"{s}b", 2))]
+    frames = [stored(spark.createDataFrame(rows, schema)) for rows, schema in ((flow, "node string, fact int, to_node string, to_fact int"), (calls, "site string, fact int, entry string, entry_fact int"), (returns, "exit string, fact int, site string, to_node string, to_fact int"))]
+    want = {tuple(x) for x in ifds.path_edges(*frames, spark.createDataFrame(seeds, "node string, fact int")).select("entry", "entry_fact", "node", "fact").collect()}
+    ways = lambda rows, *key: [x[len(key):] for x in rows if x[: len(key)] == key]
+    back = [(end, fact, site, to, to_fact) for end, fact, site, to, to_fact in returns]
+    # Here a place may return from any procedure that reaches it, as in the relations: by site and entry.
+    found = ifds.tabulated(lambda n, f: ways(flow, n, f), lambda n, f: ways(calls, n, f), lambda n, f, site: ways(back, n, f, site), seeds)
+    assert found == want
+
+
+def test_call_groups_need_no_rounds(spark, tmp_path):
+    """No table is written by rounds, whatever the way through the calls."""
+    from millrace.plans import interprocedural_queries as q
+
+    rows = [(1, 10 * k + 1, 1 + k % 7, 4 * k + 1, 4 * k, 3.0 * k, "ARN"[k % 3]) for k in range(4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, x long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("facts_along_valid_ways", "demanded_facts", "interprocedural_slices"):
+        plan = q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "table-" not in plan and plan.count("Relation") == 2
