@@ -1,7 +1,7 @@
 """Python source as relations: functions, imports and calls, and the call graph resolved by joins.
 
 Parsing is the one per-file step, a small helper over the standard ``ast``
-module inside an Arrow UDF; everything after it is joins and aggregates.
+module under ``mapInArrow``; everything after it is joins and aggregates.
 Files that do not parse give no rows but an ``error``.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import graph
+from millrace.sources.python_flow import SLICE, statements, text_slices
 
 _KINDS = {"string": (T.StringType(), pa.string()), "int": (T.IntegerType(), pa.int32()), "boolean": (T.BooleanType(), pa.bool_()), "strings": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
 _FUNCTION = {"name": "string", "qualified": "string", "owner": "string", "is_async": "boolean", "params": "strings", "decorators": "strings", "docstring": "string", "start_line": "int", "end_line": "int", "cyclomatic": "int", "cognitive": "int", "nesting": "int", "returns": "int"}
@@ -27,43 +28,49 @@ _DEEPER = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.Asyn
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def _own(node: ast.AST, depth: int = 0):
-    """(node, nesting) of what stands in a function, nested definitions left out."""
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, _SCOPES):
-            continue
-        chained = isinstance(node, ast.If) and isinstance(child, ast.If) and child in node.orelse
-        inner = depth + (isinstance(child, _DEEPER) and not chained)
-        yield child, inner
-        yield from _own(child, inner)
+#: Nodes in which no definition, call or branch stands.
+_LEAVES = frozenset({ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue, ast.arg, ast.alias, ast.Global, ast.Nonlocal, *ast.operator.__subclasses__(), *ast.unaryop.__subclasses__(), *ast.cmpop.__subclasses__(), *ast.boolop.__subclasses__()})
 
 
 def _measures(node: ast.AST) -> dict:
-    cyclomatic, cognitive, nesting, returns = 1, 0, 0, 0
-    for x, depth in _own(node):
-        nesting = max(nesting, depth)
-        returns += isinstance(x, ast.Return)
-        cyclomatic += isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0)
-        if isinstance(x, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Match)):
-            cognitive += 1 + max(0, depth - 1)
-        cognitive += isinstance(x, ast.BoolOp)
+    """Measures of what stands in a function, nested definitions left out."""
+    cyclomatic, cognitive, nesting, returns, todo = 1, 0, 0, 0, [(node, 0)]
+    while todo:
+        at, depth = todo.pop()
+        for x in ast.iter_child_nodes(at):
+            if type(x) in _LEAVES or isinstance(x, _SCOPES):
+                continue
+            chained = isinstance(at, ast.If) and isinstance(x, ast.If) and x in at.orelse
+            inner = depth + (isinstance(x, _DEEPER) and not chained)
+            nesting = max(nesting, inner)
+            returns += isinstance(x, ast.Return)
+            cyclomatic += isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0)
+            if isinstance(x, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Match)):
+                cognitive += 1 + max(0, inner - 1)
+            cognitive += isinstance(x, ast.BoolOp)
+            todo.append((x, inner))
     return {"cyclomatic": cyclomatic, "cognitive": cognitive, "nesting": nesting, "returns": returns}
 
 
-def _extract(text: str) -> dict:
+def _extract(text: str, parts: tuple[str, ...] = tuple(_PARTS)) -> dict:
+    """The rows of ``parts``. Functions and imports are statements, so expressions are visited for calls only."""
     out: dict = {"functions": [], "imports": [], "calls": [], "error": None}
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as fault:
         return out | {"error": str(fault)}
+    inside = ast.iter_child_nodes if "calls" in parts else statements
 
     def walk(node: ast.AST, path: tuple[str, ...], owner: str | None, caller: str) -> None:
-        for child in ast.iter_child_nodes(node):
+        for child in inside(node):
+            if type(child) in _LEAVES:
+                continue
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                a = child.args
-                params = [p.arg for p in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
                 name = ".".join((*path, child.name))
-                out["functions"].append({"name": child.name, "qualified": name, "owner": owner, "is_async": isinstance(child, ast.AsyncFunctionDef), "params": params, "decorators": [ast.unparse(d) for d in child.decorator_list], "docstring": ast.get_docstring(child), "start_line": child.lineno, "end_line": child.end_lineno, **_measures(child)})
+                if "functions" in parts:
+                    a = child.args
+                    params = [p.arg for p in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
+                    out["functions"].append({"name": child.name, "qualified": name, "owner": owner, "is_async": isinstance(child, ast.AsyncFunctionDef), "params": params, "decorators": [ast.unparse(d) for d in child.decorator_list], "docstring": ast.get_docstring(child), "start_line": child.lineno, "end_line": child.end_lineno, **_measures(child)})
                 walk(child, (*path, child.name), owner, name)
             elif isinstance(child, ast.ClassDef):
                 walk(child, (*path, child.name), child.name, caller)
@@ -77,25 +84,27 @@ def _extract(text: str) -> dict:
                     if isinstance(f, ast.Name):
                         out["calls"].append({"caller": caller, "target": f.id, "receiver": None, "line": child.lineno})
                     elif isinstance(f, ast.Attribute):
-                        out["calls"].append({"caller": caller, "target": f.attr, "receiver": ast.unparse(f.value), "line": child.lineno})
+                        out["calls"].append({"caller": caller, "target": f.attr, "receiver": f.value.id if isinstance(f.value, ast.Name) else ast.unparse(f.value), "line": child.lineno})
                 walk(child, path, owner, caller)
 
     walk(tree, (), None, "<module>")
     return out
 
 
-_SPARK = T.StructType([*(T.StructField(k, T.ArrayType(T.StructType([T.StructField(n, _KINDS[t][0]) for n, t in f.items()]))) for k, f in _PARTS.items()), T.StructField("error", T.StringType())])
-_ARROW = pa.struct([*((k, pa.list_(pa.struct([(n, _KINDS[t][1]) for n, t in f.items()]))) for k, f in _PARTS.items()), ("error", pa.string())])
+def _modules(batches, parts: tuple[str, ...], size: int):
+    arrow = {k: pa.list_(pa.struct([(n, _KINDS[t][1]) for n, t in _PARTS[k].items()])) for k in parts}
+    for batch in batches:
+        for paths, texts in text_slices(batch, size):
+            found = [_extract(t or "", parts) for t in texts]
+            columns = [pa.array([f[k] for f in found], t) for k, t in arrow.items()]
+            yield pa.RecordBatch.from_arrays([paths, *columns, pa.array([f["error"] for f in found], pa.string())], ["path", *parts, "error"])
 
 
-@F.arrow_udf(_SPARK)
-def _parsed(texts: pa.Array) -> pa.Array:
-    return pa.array((_extract(t.as_py() or "") for t in texts), _ARROW)
-
-
-def modules(files: DataFrame) -> DataFrame:
-    """(path, functions, imports, calls, error) of (path, text). Write it before deriving several relations."""
-    return files.select("path", _parsed("text").alias("m")).select("path", "m.*")
+def modules(files: DataFrame, parts: tuple[str, ...] = tuple(_PARTS)) -> DataFrame:
+    """(path, *parts, error) of (path, text), rows given out after each ``python_flow.SLICE`` bytes of texts; ``parts`` as in ``relation``, all by default. Write it before deriving several relations."""
+    spark_type = lambda f: T.ArrayType(T.StructType([T.StructField(n, _KINDS[t][0]) for n, t in f.items()]))
+    schema = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(k, spark_type(_PARTS[k])) for k in parts), T.StructField("error", T.StringType())])
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(lambda batches: _modules(batches, parts, SLICE), schema)
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:
